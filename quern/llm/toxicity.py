@@ -25,21 +25,24 @@ from .quality import Constant, clean_labels
 POSITIVES, UNLABELLED, CHECKED = 3000, 6000, 3000
 KINDS = "l"
 CUT = 0.7
-#: A slot counts if so many training texts have it.
-LEAST = 4
+#: A slot counts if so many training texts have it and its shares differ by so many standard errors.
+LEAST, CLEAR = 3, 3.5
 
 
 def fit_nnpu(y: np.ndarray, slots: np.ndarray, bounds: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, float]:
     """y: 1 confirmed, 0 unlabelled. Weights and bias by full-batch Adam on the non-negative risk."""
-    used = np.bincount(slots, minlength=DIM) >= LEAST
+    pos = y == 1
+    np_, nu = max(pos.sum(), 1), max((~pos).sum(), 1)
+    row = np.repeat(pos, np.diff(bounds))
+    a, c = np.bincount(slots[row], minlength=DIM), np.bincount(slots[~row], minlength=DIM)
+    q = np.clip((a + c) / (np_ + nu), 1e-9, 1 - 1e-9)
+    used = (a + c >= LEAST) & (np.abs(a / np_ - c / nu) >= CLEAR * np.sqrt(q * (1 - q) * (1 / np_ + 1 / nu)))
     slot_of = np.cumsum(used) - 1
     keep = used[slots]
     row = np.repeat(np.arange(len(y)), np.diff(bounds))[keep]
     col = slot_of[slots[keep]]
     d = int(used.sum())
     b = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
-    pos = y == 1
-    np_, nu = max(pos.sum(), 1), max((~pos).sum(), 1)
     # how far above its share a slot is among the confirmed: a start that needs few rounds
     p = (np.bincount(col[pos[row]], minlength=d) + 0.5) / (np_ + 1)
     u = (np.bincount(col[~pos[row]], minlength=d) + 0.5) / (nu + 1)
