@@ -129,3 +129,12 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold
     model = train(spark, docs, labels, folds, held_out)
     out = scored(docs, model, [])
     return out.select("doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, cut: float = CUT) -> DataFrame:
+    """The rows of docs, all columns as they came, whose score is at least cut."""
+    ship(spark)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = train(spark, plain, labels, folds, held_out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+    return scored(rows, model, ["row"]).where(F.col("score") >= cut).select("row.*")

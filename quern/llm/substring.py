@@ -150,46 +150,63 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.concat_tables([x.cast(own[0].schema) for x in own])
 
 
-def _cut(batches):
-    """Texts with the runs of removed windows -> kept words and counts."""
-    for batch, data, bounds in steps(batches, "text"):
-        t = Texts(data, bounds)
-        raw = data.tobytes()
-        s, n = batch.column("s"), batch.column("n")
-        so, sv, nv = s.offsets.to_numpy(), s.values.to_numpy(zero_copy_only=False), n.values.to_numpy(zero_copy_only=False)
-        kept, gone = [], np.zeros(batch.num_rows, np.int64)
-        for i in range(batch.num_rows):
-            if not s[i].is_valid or so[i] == so[i + 1]:
-                kept.append(b" ".join(raw[bounds[i] : bounds[i + 1]].split()))
-                continue
-            edge = np.zeros(t.counts[i] + 1, np.int64)
-            np.add.at(edge, sv[so[i] : so[i + 1]], 1)
-            np.add.at(edge, sv[so[i] : so[i + 1]] + nv[so[i] : so[i + 1]] + WINDOW - 1, -1)
-            keep = np.cumsum(edge[:-1]) == 0
-            gone[i] = len(keep) - keep.sum()
-            words = raw[bounds[i] : bounds[i + 1]].split()
-            kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(t.counts.astype(np.int64)), pa.array(gone)],
-            ["doc_id", "kept_text", "n_words", "n_removed"],
-        )
+def _cut(rest: list[str]):
+    """Texts with the runs of removed windows -> kept words and counts, and the columns `rest`."""
+
+    def run(batches):
+        for batch, data, bounds in steps(batches, "text"):
+            t = Texts(data, bounds)
+            raw = data.tobytes()
+            s, n = batch.column("s"), batch.column("n")
+            so, sv, nv = s.offsets.to_numpy(), s.values.to_numpy(zero_copy_only=False), n.values.to_numpy(zero_copy_only=False)
+            kept, gone = [], np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                if not s[i].is_valid or so[i] == so[i + 1]:
+                    kept.append(b" ".join(raw[bounds[i] : bounds[i + 1]].split()))
+                    continue
+                edge = np.zeros(t.counts[i] + 1, np.int64)
+                np.add.at(edge, sv[so[i] : so[i + 1]], 1)
+                np.add.at(edge, sv[so[i] : so[i + 1]] + nv[so[i] : so[i + 1]] + WINDOW - 1, -1)
+                keep = np.cumsum(edge[:-1]) == 0
+                gone[i] = len(keep) - keep.sum()
+                words = raw[bounds[i] : bounds[i + 1]].split()
+                kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(t.counts.astype(np.int64)), pa.array(gone), *(batch.column(c) for c in rest)],
+                ["doc_id", "kept_text", "n_words", "n_removed", *rest],
+            )
+
+    return run
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, kept_text, n_words, n_removed; one row for each input row."""
+    return _joined(spark, docs, id_col, text_col, []).select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n")).mapInArrow(
+        _cut([]), "doc_id long, kept_text string, n_words long, n_removed long"
+    )
+
+
+def replace_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with all its columns, the text being the kept one and size_col, if there, its length."""
+    rest = F.struct(*[c for c in docs.columns if c not in (text_col, size_col)])
+    rows = _joined(spark, docs, id_col, text_col, [rest.alias("row")]).select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"), "row")
+    kind = dict(rows.dtypes)["row"]
+    out = rows.mapInArrow(_cut(["row"]), f"doc_id long, kept_text string, n_words long, n_removed long, row {kind}")
+    cols = {text_col: F.col("kept_text"), size_col: F.length("kept_text").cast(dict(docs.dtypes).get(size_col, "long"))}
+    return out.select(*[cols.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _joined(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, more: list) -> DataFrame:
     ship(spark)
     total = text_bytes(docs, text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *more)
     buckets = parts(spark, 3 * total, BUCKET)
-    packed = docs.where("doc_id is not null and text is not null").mapInArrow(_pack(buckets), "bucket long, id long, th long, start long, n long, pack binary")
+    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_pack(buckets), "bucket long, id long, th long, start long, n long, pack binary")
     # runs that a map task decided ride along, spread over the buckets
     spread = F.when(F.col("bucket") < 0, F.pmod(F.col("th"), F.lit(buckets))).otherwise(F.col("bucket"))
     runs = packed.groupBy(spread.alias("at")).applyInArrow(_count, "id long, th long, start long, n long")
     runs = runs.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = docs.join(runs, (docs.doc_id == runs.id) & (docs.th == runs.th), "left")
-    return joined.select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n")).mapInArrow(
-        _cut, "doc_id long, kept_text string, n_words long, n_removed long"
-    )
+    return docs.join(runs, (docs.doc_id == runs.id) & (docs.th == runs.th), "left")
 
 
 def digest(out: DataFrame) -> DataFrame:
