@@ -82,7 +82,7 @@ f as (select html, min(page_id) as first from p group by html),
 d as (
   select page_id, html, list_aggregate(list_transform(range(40), lambda k: format('{:04b}', strpos('0123456789abcdef', h[k + 1]) - 1)), 'string_agg', '') as bits from p
 )
-select page_id, octet_length(html::blob)::bigint as payload_bytes,
+select page_id, strlen(html)::bigint as payload_bytes,
   list_aggregate(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda b: bits[5 * k + b + 1]::int * (16 >> b::int)))::int]), 'string_agg', '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id = first then null else first end as refers_to
