@@ -123,7 +123,7 @@ def thai_date(c: Column) -> Column:
     year = part(3).cast("int")
     month = F.array_position(F.array(*[F.lit(m) for m in THAI_MONTHS]), part(2)).cast("int")
     year = F.when(year > 2400, year - 543).otherwise(year)
-    return F.to_date(F.format_string("%04d-%02d-%02d", year, month, part(1).cast("int")))
+    return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, part(1).cast("int"))).cast("date")
 
 
 def any_timestamp(c: Column) -> Column:

@@ -34,7 +34,8 @@ def json_items(c: Column) -> Column:
 def qa_blocks(c: Column) -> Column:
     """Numbered question and answer blocks: (question, answer) structs."""
     blocks = F.filter(F.split(c, r"(?m)^\s*\d+[.)]\s+"), lambda b: F.trim(b) != "")
-    return F.transform(blocks, lambda b: F.struct(F.trim(F.substring_index(b, "\n", 1)).alias("question"), F.trim(F.substr(b, F.length(F.substring_index(b, "\n", 1)) + 2)).alias("answer")))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.transform(blocks, lambda b: F.struct(bare(F.substring_index(b, "\n", 1)).alias("question"), bare(F.substr(b, F.length(F.substring_index(b, "\n", 1)) + 2)).alias("answer")))
 
 
 def links(html: Column) -> Column:
