@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def _rows(bucket, ids, th, start, n) -> pa.RecordBatch:
 def _count(table: pa.Table) -> pa.Table:
     """One bucket: all windows of its stretches, sorted; the later copies as runs of window starts."""
     unpack = zstandard.ZstdDecompressor()
-    own = [table.filter(pa.compute.is_valid(table["id"])).select(["id", "th", "start", "n"])]
+    own = [table.filter(pc.is_valid(table["id"])).select(["id", "th", "start", "n"])]
     heads, texts = [], []
     for blob in table["pack"].to_pylist():
         if blob is not None:
