@@ -9,8 +9,11 @@ pair misses all 32 bands with probability (1 - 0.75**4)**32, about 5 in a millio
 Links: documents with equal shingle sets are one class (grouped by a 128-bit set fingerprint, with
 partial aggregation), so a hot group of copies is one row afterwards. Classes that share a
 band's bucket are verified on their full texts: first each against the smallest id that it meets,
-then against each bucket's smallest id if they are not yet connected, then all pairs of a bucket that are still in
-different components. A pair already connected needs no check, as only components are returned.
+then against each bucket's smallest id if they are not yet connected. What is still open in a bucket of at most SMALL
+classes is verified pair by pair. Larger open buckets are joined into clusters; a cluster's texts are dealt to blocks, and each
+pair of blocks is one tile, which counts all common shingles by matrix products and returns a spanning forest, never the
+pairs. So a hot group of near copies is spread over tiles. A pair already connected needs no check, as only components are
+returned.
 
 Results for odd input: null or blank text has no shingles and links with nothing (it is its own
 component); rows with a null id get a null component and are kept; repeated ids count as one document, whose rows share
@@ -25,13 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Texts, byte_column, materialise, mix, numbers, run_hash, ship, steps
-from .components import components
+from .components import components, hook
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SHINGLE = 5
 #: Links have PERCENT * union <= 100 * intersection.
 PERCENT = 75
+#: Classes in a bucket whose open pairs are verified one by one; shingles and classes in a block of a tile.
+SMALL, BLOCK_SHINGLES, BLOCK_CLASSES = 32, 1 << 19, 1024
+#: A shingle in more of a tile's texts is counted by the matrix product, others by pairs.
+DENSE = 16
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +140,57 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def common(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of sets[:split] (rows) with sets[split:] (columns)."""
+    n, m = split, len(sets) - split
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    size = np.diff(np.append(first, len(flat)))
+    out = np.zeros(n * m, np.float32)
+    for k in range(2, DENSE + 1):  # all columns of k texts at once
+        at = first[size == k]
+        for lo in range(0, len(at), 1 << 18):
+            own = owner[at[lo : lo + (1 << 18), None] + np.arange(k)]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    ok = (own[:, i] < n) & (own[:, j] >= n)
+                    out += np.bincount(own[ok, i] * m + own[ok, j] - n, minlength=n * m).astype(np.float32)
+    out = out.reshape(n, m)
+    wide = np.flatnonzero(size > DENSE)
+    for lo in range(0, len(wide), 2048):
+        some = wide[lo : lo + 2048]
+        x = np.zeros((len(sets), len(some)), np.float32)
+        for c, k in enumerate(some):
+            x[owner[first[k] : first[k] + size[k]], c] = 1
+        out += x[:n] @ x[n:].T
+    return out
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Texts of one or two blocks of a cluster -> links that span their components."""
+    table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+    ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
+    sets = []
+    for col in table["text"].chunks:
+        data, bounds = byte_column(col)
+        for i in range(len(bounds) - 1):
+            sets.append(shingle_sets(data[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))[0])
+    sizes = np.array([len(x) for x in sets])
+    one = block[0] == block[-1]
+    split = len(sets) if one else int(np.searchsorted(block, block[-1]))
+    root = np.arange(len(sets))
+    other = np.arange(len(sets)) if one else np.arange(split, len(sets))
+    both = common(sets + sets if one else sets, split)
+    for lo in range(0, split, 128):  # some rows at a time: nearly all pairs of a hot group are links
+        part = both[lo : lo + 128]
+        a, b = np.nonzero(100 * part >= PERCENT * (sizes[lo : lo + 128, None] + sizes[other][None, :] - part))
+        root = hook(root, a + lo, other[b])
+    low = np.flatnonzero(root != np.arange(len(sets)))
+    return pa.table({"a": ids[low], "b": ids[root[low]]})
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, kept; one row for each input row."""
     ship(spark)
@@ -173,23 +231,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     tried = keep(star.groupBy("doc_id").agg(F.min("low").alias("low")).select(F.col("low").alias("a"), F.col("doc_id").alias("b")), "tried")
     found = keep(confirm(tried), "found")
     links = same.union(found)
-    for last in (False, True, None):
+    for turn in ("star", "rest", "end"):
         comp = keep(components(spark, links), "components").toDF("doc_id", "c")
-        if last is None:
+        if turn == "end":
             break
         at = buckets.join(comp, "doc_id", "left").select("bucket", "doc_id", "n_shingles", "low", F.coalesce("c", "doc_id").alias("c"))
-        mixed = at.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("bucket")
+        mixed = at.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 != c2").select("bucket", "size")
         at = keep(at.join(mixed, "bucket"), "open")
         other = at.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
         met = (F.col("a") < F.col("doc_id")) & (F.col("ca") != F.col("c"))
-        if not last:
-            met &= F.col("a") == F.col("low")
-        pairs = at.join(other, "bucket").where(met).where(fits("na", "n_shingles")).select("a", F.col("doc_id").alias("b")).distinct()
+        if turn == "star":
+            pairs = at.join(other.join(at.select("bucket", F.col("low").alias("a")).distinct(), ["bucket", "a"], "left_semi"), "bucket").where(met)
+        else:
+            pairs = at.where(F.col("size") <= SMALL).join(other, "bucket").where(met)
+            hot = at.where(F.col("size") > SMALL)
+            if not hot.isEmpty():
+                links = links.union(keep(_tiles(spark, hot, texts), "tiles"))
+        pairs = pairs.where(fits("na", "n_shingles")).select("a", F.col("doc_id").alias("b")).distinct()
         pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
         tried = tried.union(pairs)
         links = links.union(keep(confirm(pairs), "found"))
     out = sketched.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
@@ -199,3 +258,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         F.coalesce("c", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("c", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def _tiles(spark: SparkSession, hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the classes of large open buckets, found by pairs of blocks of each cluster."""
+    cluster = components(spark, hot.where("doc_id != low").select("doc_id", "low")).toDF("doc_id", "cluster")
+    own = cluster.join(hot.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    size = own.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    own = own.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = own.join(texts, "doc_id").select("cluster", "block", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    rows = rows.select("cluster", F.least("block", "met").alias("b1"), F.greatest("block", "met").alias("b2"), "block", "doc_id", "text")
+    return rows.groupBy("cluster", "b1", "b2").applyInArrow(_tile, "a long, b long")

@@ -246,3 +246,25 @@ def test_decontamination(spark):
     assert got[1, 10].n_changed == 0 and got[2, 10].n_changed >= 2
     assert (3, 10) not in got or got[3, 10].coverage < got[2, 10].coverage
     assert decontaminate.contaminated(spark, df, bench.where("item_id < 0")).count() == 0
+
+
+def test_minhash_tiles(spark, docs, monkeypatch):
+    """Small limits send every open bucket through the tiles; the result stays."""
+    want = sorted(minhash.near_duplicates(spark, docs[0]).collect(), key=str)
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(120)]
+    rows = []
+    for i in range(60):  # near copies around the threshold
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    near = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sorted(minhash.near_duplicates(spark, near).collect())
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    root = components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in plain} == root
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 7)
+    assert sorted(minhash.near_duplicates(spark, docs[0]).collect(), key=str) == want
+    assert sorted(minhash.near_duplicates(spark, near).collect()) == plain
