@@ -185,7 +185,7 @@ def _tile(table: pa.Table) -> pa.Table:
     both = common(sets + sets if one else sets, split)
     for lo in range(0, split, 128):  # some rows at a time: nearly all pairs of a hot group are links
         part = both[lo : lo + 128]
-        a, b = np.nonzero(100 * part >= PERCENT * (sizes[lo : lo + 128, None] + sizes[other][None, :] - part))
+        a, b = np.nonzero(100 * part >= PERCENT * (sizes[lo : lo + len(part), None] + sizes[other][None, :] - part))
         root = hook(root, a + lo, other[b])
     low = np.flatnonzero(root != np.arange(len(sets)))
     return pa.table({"a": ids[low], "b": ids[root[low]]})
