@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 MEMO = 300_000
 _PIECE = re.compile(r"(?= \S)")
+#: A blank that stands ahead of white space or the end: such texts are cut by _PIECE.
+_LOOSE = re.compile(r" (?:\s|$)")
+#: Letters, then ASCII marks other than the apostrophe: both vocabularies part these.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece after a blank -> the ids of blank and piece, as unsigned 32-bit integers (little-endian, as all machines that Spark runs on here)."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -25,20 +28,68 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain: dict[str, bytes] = {}  # ids of words without a blank ahead
+        self.made: dict[str, bytes] = {}  # ids of what was put together from words after a blank
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        out: list[bytes] = []
+        for i in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in run(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _know(self, words: set[str], plain: bool) -> dict[str, bytes]:
+        """The memo of words after a blank or (plain) as they stand, with these words in it."""
+        memo = self.plain if plain else self
+        new = [w for w in words if w not in memo]
+        memo.update(zip(new, self._ids(new if plain else [" " + w for w in new])))
+        return memo
+
+    def _table(self, pieces: set[str], plain: bool) -> dict[str, bytes]:
+        """The ids of pieces. Only their words are kept in the memo; what is put together is made again."""
+        parts, words, marks, made = {}, set(), set(), {} if plain else self.made
+        out = {p: made[p] for p in pieces & made.keys()}
+        for p in pieces - out.keys():
+            if p in (self.plain if plain else self):
+                words.add(p)
+                continue
+            lines = p.split("\n")
+            if len(lines) > 1 and (not all(lines) or len(p.split()) != len(lines)):
+                words.add(p)  # other white space than single line ends between words
+                continue
+            own = []
+            for k, line in enumerate(lines):
+                m = _MARKED.fullmatch(line)
+                own.append((m[1], m[2]) if m else (line, ""))
+                (marks if k or plain else words).add(own[-1][0])
+                marks.add(own[-1][1])
+            parts[p] = own
+        small = self._know(marks | {"\n"}, True)
+        memo = self._know(words, plain)
+        for w in words:
+            out[w] = memo[w]
+        if len(made) + len(parts) > MEMO:
+            made.clear()
+        for p, own in parts.items():
+            (word, mark), *rest = own
+            out[p] = memo[word] + small[mark]
+            for word, mark in rest:
+                out[p] += small["\n"] + small[word] + small[mark]
+            made[p] = out[p]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.split(t) for t in texts]
-        new = list({p for own in cut for p in own if p not in self})
-        if len(self) + len(new) > MEMO:
+        heads, rests = [], []
+        for t in texts:
+            cut = [t[:1] + t[1:].split(" ", 1)[0], *t[1:].split(" ")[1:]] if not _LOOSE.search(t) else [p[k > 0 :] for k, p in enumerate(_PIECE.split(t))]
+            heads.append(cut[0])
+            rests.append(cut[1:])
+        if len(self) + len(self.plain) > MEMO:
             self.clear()
-            new = list({p for own in cut for p in own})
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, run(some, add_special_tokens=False)):
-                self[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.__getitem__
-        return [b"".join(map(get, own)) for own in cut]
+            self.plain.clear()
+        first = self._table(set(heads), True)
+        get = self._table(set().union(*rests), False).__getitem__
+        return [first[head] + b"".join(map(get, rest)) for head, rest in zip(heads, rests)]
 
 
 def encoder(path: str) -> Encoder:
