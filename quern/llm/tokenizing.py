@@ -1,21 +1,28 @@
 """Token ids of whole texts with a public tokenizer file, by pieces between single blanks.
 
 Both kinds of vocabulary file part words before a blank that stands ahead of another sign, so a text's
-ids are those of its pieces in a row. A worker keeps the ids of pieces that it has seen, at most MEMO of them.
+ids are those of its pieces in a row. A worker keeps the ids of pieces that it has seen, about MEMO of them. New pieces
+are encoded many to a string where the tokens themselves tell the pieces apart: a vocabulary with blanks in its tokens has
+one such token for each piece's blank; one with word ends has one for each run of letters or marks of a piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
-MEMO = 300_000
+import numpy as np
+
+MEMO = 500_000
+#: Pieces encoded as one string.
+JOINED = 512
 _PIECE = re.compile(r"(?= \S)")
 #: A blank that stands ahead of white space or the end: such texts are cut by _PIECE.
 _LOOSE = re.compile(r" (?:\s|$)")
-#: Letters, then ASCII marks other than the apostrophe: both vocabularies part these.
-_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Pieces with one blank, the first sign, and no other white space at the ends (what \s means differs by library).
+_BLANK = re.compile(r" [^\s\u180e](?:[^ ]*[^\s\u180e])?")
+#: Pieces of letters that stay letters when composed and lower-cased, then ASCII marks other than the apostrophe.
+_LETTERS = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@\[-`{-~]+)?")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -28,67 +35,61 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain: dict[str, bytes] = {}  # ids of words without a blank ahead
-        self.made: dict[str, bytes] = {}  # ids of what was put together from words after a blank
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.heads: dict[str, bytes] = {}  # ids of pieces that begin a text
+        blank, end = (self.tokenizer.id_to_token(int(self._run([" a"])[0][k])) for k in (0, -1))
+        vocabulary = self.tokenizer.get_vocab()
+        self.tells = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.by_blank, self.by_end = blank.startswith("\u0120"), end.endswith("</w>")
+        for token, k in vocabulary.items():
+            self.tells[k] = token.startswith("\u0120") if self.by_blank else token.endswith("</w>")
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        out: list[bytes] = []
-        for i in range(0, len(texts), 20_000):
-            out += [array("I", e.ids).tobytes() for e in run(texts[i : i + 20_000], add_special_tokens=False)]
-        return out
-
-    def _know(self, words: set[str], plain: bool) -> dict[str, bytes]:
-        """The memo of words after a blank or (plain) as they stand, with these words in it."""
-        memo = self.plain if plain else self
-        new = [w for w in words if w not in memo]
-        memo.update(zip(new, self._ids(new if plain else [" " + w for w in new])))
-        return memo
-
-    def _table(self, pieces: set[str], plain: bool) -> dict[str, bytes]:
-        """The ids of pieces. Only their words are kept in the memo; what is put together is made again."""
-        parts, words, marks, made = {}, set(), set(), {} if plain else self.made
-        out = {p: made[p] for p in pieces & made.keys()}
-        for p in pieces - out.keys():
-            if p in (self.plain if plain else self):
-                words.add(p)
-                continue
-            lines = p.split("\n")
-            if len(lines) > 1 and (not all(lines) or len(p.split()) != len(lines)):
-                words.add(p)  # other white space than single line ends between words
+        return [np.array(e.ids, np.uint32) for e in run(texts, add_special_tokens=False)]
+
+    def _runs(self, piece: str) -> int:
+        """How many telling tokens the piece has; 0 if it is to be encoded alone."""
+        if self.by_blank:
+            return int(_BLANK.fullmatch(piece) is not None)
+        m = self.by_end and _LETTERS.fullmatch(piece)
+        return 1 + (m[1] is not None) if m else 0
+
+    def _ids(self, pieces: list[str]):
+        """(piece, ids) of each piece, as it stands, in any order."""
+        joined, runs, alone = [], [], []
+        for p in pieces:
+            if n := self._runs(p):
+                joined.append(p)
+                runs.append(n)
+            else:
+                alone.append(p)
+        for i in range(0, len(joined), JOINED):
+            chunk, n = joined[i : i + JOINED], np.cumsum(runs[i : i + JOINED])
+            ids = self._run(["".join(chunk)])[0]
+            at = np.flatnonzero(self.tells[ids])
+            if len(at) != n[-1]:
+                alone += chunk
                 continue
-            own = []
-            for k, line in enumerate(lines):
-                m = _MARKED.fullmatch(line)
-                own.append((m[1], m[2]) if m else (line, ""))
-                (marks if k or plain else words).add(own[-1][0])
-                marks.add(own[-1][1])
-            parts[p] = own
-        small = self._know(marks | {"\n"}, True)
-        memo = self._know(words, plain)
-        for w in words:
-            out[w] = memo[w]
-        if len(made) + len(parts) > MEMO:
-            made.clear()
-        for p, own in parts.items():
-            (word, mark), *rest = own
-            out[p] = memo[word] + small[mark]
-            for word, mark in rest:
-                out[p] += small["\n"] + small[word] + small[mark]
-            made[p] = out[p]
-        return out
+            raw = ids.tobytes()
+            cut = [*(4 * at).tolist(), len(raw)] if self.by_blank else [0, *(4 * (at[n - 1] + 1)).tolist()]
+            yield from zip(chunk, [raw[s:e] for s, e in zip(cut, cut[1:])])
+        for i in range(0, len(alone), 10_000):
+            some = alone[i : i + 10_000]
+            yield from zip(some, [ids.tobytes() for ids in self._run(some)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         heads, rests = [], []
         for t in texts:
-            cut = [t[:1] + t[1:].split(" ", 1)[0], *t[1:].split(" ")[1:]] if not _LOOSE.search(t) else [p[k > 0 :] for k, p in enumerate(_PIECE.split(t))]
+            cut = [p[k > 0 :] for k, p in enumerate(_PIECE.split(t))] if _LOOSE.search(t) else t.split(" ")
             heads.append(cut[0])
             rests.append(cut[1:])
-        if len(self) + len(self.plain) > MEMO:
+        if len(self) + len(self.heads) > MEMO:
             self.clear()
-            self.plain.clear()
-        first = self._table(set(heads), True)
-        get = self._table(set().union(*rests), False).__getitem__
+            self.heads.clear()
+        self.heads.update(self._ids(list(set(heads).difference(self.heads))))
+        new = set().union(*rests).difference(self)
+        self.update((p[1:], ids) for p, ids in self._ids([" " + p for p in new]))
+        get, first = self.__getitem__, self.heads
         return [first[head] + b"".join(map(get, rest)) for head, rest in zip(heads, rests)]
 
 
