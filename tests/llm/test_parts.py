@@ -109,3 +109,13 @@ def test_templates_match_with_other_slots():
     assert a.tolist() == b.tolist()
     assert D.consistent([(0, ["n:1", "n:2"], ["n:7", "n:8"]), (3, ["n:2", "n:1"], ["n:8", "n:7"])], 4) == (7, 2)
     assert D.consistent([(0, ["n:1"], ["n:7"]), (9, ["n:1"], ["n:8"])], 4) == (4, 1)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_on_random_mixes(name):
+    bits = ["foo", "Bar,", "'s", "don't", " ", "  ", "\n", "\t", "\r\n", "\u0085", "\u180e", "\u00a0", "\u0130", "\u0958", "e\u0301", "\u0301", "ß!", "12", "3.5", "²", "Ⅷ", "_a", "|", "a|b", "<|endoftext|>", "\x1c", "\x00", "😀", "日本", "--", "(x)", "Ġ", "</w>", "µ"]
+    r = random.Random(4)
+    texts = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(40))) for _ in range(2000)]
+    e = encoder(vocabulary(name))
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [raw for i in range(0, 2000, 250) for raw in e.encode(texts[i : i + 250])] == want
