@@ -1,7 +1,8 @@
 """Token-id files with a minimal perfect hash index.
 
-A shard file holds, little-endian: the mark, the raw ids of its documents in a row (unsigned 32-bit), a
-table of documents (id, first id, number of ids) and an index, then the sizes of these parts. The index is a minimal perfect
+A shard file holds, little-endian: the mark, the raw ids of its documents in a row (unsigned, of 16 bits where every id of the
+vocabulary fits and else of 32), a table of documents (id, first id, number of ids) and an index, then the sizes of these parts
+and the bytes of an id. The index is a minimal perfect
 hash of the shard's distinct document ids: levels of bit arrays, in each of which the ids that no other id
 hits take a bit; an id's slot is the rank of its bit. The slot stores a 32-bit fingerprint and the number of
 the id's first row in the table, so a key costs a few bit tests and two reads, and a key that isn't there is told by
@@ -25,7 +26,7 @@ from .common import mix, parts, scratch_path, ship, steps, text_bytes
 from .storage import opened, writing
 from .tokenizing import encoder
 
-MARK = b"QTOKENS1"
+MARK = b"QTOKENS2"
 END = 1
 #: Bytes of text in a shard, about.
 SHARD = 16 << 20
@@ -96,8 +97,8 @@ class Shard:
     def __init__(self, uri: str):
         self.file = opened(uri)
         size = self.file.size()
-        self.file.seek(size - 24)
-        payload, table, index = np.frombuffer(self.file.read(24), "<u8").tolist()
+        self.file.seek(size - 32)
+        payload, table, index, self.width = np.frombuffer(self.file.read(32), "<u8").tolist()
         self.file.seek(len(MARK) + payload)
         n = table // 24
         self.ids, self.first, self.count = np.frombuffer(self.file.read(table), "<i8").reshape(3, n)
@@ -127,8 +128,10 @@ class Shard:
         return np.where(ok, row, -1)
 
     def tokens(self, row: int) -> bytes:
-        self.file.seek(len(MARK) + 4 * int(self.first[row]))
-        return self.file.read(4 * int(self.count[row]))
+        """The ids of a table row's document as unsigned 32-bit integers, whatever the file holds them in."""
+        self.file.seek(len(MARK) + self.width * int(self.first[row]))
+        raw = self.file.read(self.width * int(self.count[row]))
+        return raw if self.width == 4 else np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
 
 
 def _write(folder: str, path: str, end: int):
@@ -138,13 +141,18 @@ def _write(folder: str, path: str, end: int):
         number = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{number:06d}.tok"
         ids, sizes, out, ctx = [], [], None, None
+        width = 2 if max(encoder(path).largest, end) < 1 << 16 else 4
+        last = int(end).to_bytes(width, "little")
         for batch, _, _ in steps(batches, "text", 4 << 20):
             if out is None:
                 ctx = writing(uri)
                 out = ctx.__enter__()
                 out.write(MARK)
             for raw in encoder(path).encode([t or "" for t in batch.column("text").to_pylist()]):
-                out.write(raw + int(end).to_bytes(4, "little"))
+                if width < 4:
+                    out.write(np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes() + last)
+                else:
+                    out.write(raw + last)
                 sizes.append(len(raw) // 4 + 1)
             ids += [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
         if out is None:
@@ -154,7 +162,7 @@ def _write(folder: str, path: str, end: int):
         distinct, rows = np.unique(keys, return_index=True)
         known = distinct != _NULL
         index = index_bytes(distinct[known], rows[known])
-        out.write(table + index + np.array([4 * count.sum(), len(table), len(index)], "<u8").tobytes())
+        out.write(table + index + np.array([width * count.sum(), len(table), len(index), width], "<u8").tobytes())
         ctx.__exit__(None, None, None)
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([uri]), pa.array([len(ids)]), pa.array([int(count.sum())]), pa.array([int(keys[0])]), pa.array([int(keys[-1])])], ["shard", "uri", "n_docs", "n_tokens", "first_id", "last_id"])
 

@@ -38,7 +38,8 @@ class Encoder(dict):
         self.heads: dict[str, bytes] = {}  # ids of pieces that begin a text
         blank, end = (self.tokenizer.id_to_token(int(self._run([" a"])[0][k])) for k in (0, -1))
         vocabulary = self.tokenizer.get_vocab()
-        self.tells = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.largest = max(vocabulary.values())
+        self.tells = np.zeros(self.largest + 1, bool)
         self.by_blank, self.by_end = blank.startswith("\u0120"), end.endswith("</w>")
         for token, k in vocabulary.items():
             self.tells[k] = token.startswith("\u0120") if self.by_blank else token.endswith("</w>")

@@ -167,15 +167,16 @@ def test_classifiers(spark, run, which, folds, held):
     assert run(spark, df.where("doc_id < 0"), labels).count() == 0
 
 
-def test_token_files(spark, docs):
+@pytest.mark.parametrize("end, width", [(1, 2), (1 << 16, 4)])
+def test_token_files(spark, docs, end, width):
     from tokenizers import Tokenizer
 
     df, rows = docs
     path = vocabulary("word_bpe_49k.json")
-    manifest = token_files.write_tokens(spark, df, path)
+    manifest = token_files.write_tokens(spark, df, path, end=end)
     got = sorted((tuple(r) for r in token_files.read_tokens(spark, manifest).collect()), key=lambda r: r[1])
     t = Tokenizer.from_file(path)
-    enc = lambda x: t.encode(x or "", add_special_tokens=False).ids + [1]
+    enc = lambda x: t.encode(x or "", add_special_tokens=False).ids + [end]
     assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     at = 0
     want = {}
@@ -185,6 +186,7 @@ def test_token_files(spark, docs):
         assert start == at and (n, crc) in want[i]
         at += n
     shard = token_files.Shard(manifest[-1]["uri"])
+    assert shard.width == width
     assert shard.find(np.array([-5, 123456789])).tolist() == [-1, -1]
     assert token_files.write_tokens(spark, empty(spark), path) == []
 
