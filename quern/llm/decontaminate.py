@@ -7,12 +7,14 @@ filled slots must fit together: a slot value of the item always stands for the s
 and other values for others. A document is contaminated by an item if consistent windows cover at least SHARE of
 the item's tokens, so re-parameterised copies are caught as well as verbatim ones.
 
+Placeholders alone say little: template windows of fewer than LITERAL literal tokens aren't joined. So windows of WINDOW plain
+words (lower case, without marks, nothing masked) are joined too, and a verbatim copy is found whatever it is made of.
+
 Documents' windows are first tested against a Bloom filter of BLOOM bits over the benchmark's windows; its size is fixed,
-and what passes is joined exactly. Windows of fewer than LITERAL literal tokens are left to their neighbours.
-Items shorter than WINDOW use one window of their own length.
+and what passes is joined exactly. Items shorter than WINDOW use one window of their own length.
 
 Results for odd input: null and empty texts and items match nothing, nor do rows with a null id; repeated rows (same id and text) count once; items
-without LITERAL literal tokens match nothing. Other columns are ignored.
+without LITERAL literal tokens match verbatim copies only, items of one word each text with that word. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:e[-+]?\d+)?(?:st|nd|rd|th)?([^\W\d_]*|%)$")
 _MARKS = "\"'`()[]{}<>.,;:!?…*_#~|&^$%=+«»“”‘’"
 NUM, NAME, UNIT = np.uint64(0xA100), np.uint64(0xA200), np.uint64(0xA300)
+# Sets windows of plain words apart from those of template tokens.
+PLAIN = np.uint64(0x9E3779B97F4A7C15)
 _NUM, _CAP, _END, _UNIT = 1, 2, 4, 8
 
 
@@ -67,20 +71,35 @@ _words = Words()
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Template tokens, the word each begins at (one more at the end), and the words."""
+    return _parse(text)[:3]
+
+
+def _parse(text: str) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """As template(), and the hashes of the plain words."""
     words = text.split()
     v = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if not len(v):
-        return v, np.zeros(1, np.int64), words
+        return v, np.zeros(1, np.int64), words, v
     flags = (v & np.uint64(0xFF)).astype(np.int64)
     num = flags & _NUM > 0
     start = np.concatenate([[True], flags[:-1] & _END > 0])
     name = (flags & _CAP > 0) & ~start
     unit = (flags & _UNIT > 0) & np.concatenate([[False], num[:-1]])
-    t = v & ~np.uint64(0xFF)
+    plain = v & ~np.uint64(0xFF)
+    t = plain.copy()
     t[num], t[name], t[unit] = NUM, NAME, UNIT
     first = ~name | ~np.concatenate([[False], name[:-1]])
     at = np.flatnonzero(first)
-    return t[at], np.append(at, len(words)), words
+    return t[at], np.append(at, len(words)), words, plain
+
+
+def _plain_windows(plain: np.ndarray, width: int) -> np.ndarray:
+    return mix(run_hash(plain, width) ^ PLAIN)
+
+
+def _token_at(at: np.ndarray, word: int) -> int:
+    """The template token that a word belongs to."""
+    return int(np.searchsorted(at, word, "right")) - 1
 
 
 def _literal(t: np.ndarray, width: int) -> np.ndarray:
@@ -97,23 +116,31 @@ def _slots(t: np.ndarray, at: np.ndarray, words: list[str], k: int, width: int)
     return out
 
 
+_ITEM = "window long, item_id long, item_at long, item_word long, item_span long, width long, item_tokens long, item_words long, plain boolean, item_slots array<string>"
+_DOC = "window long, doc_id long, doc_at long, doc_word long, doc_width long, doc_plain boolean, doc_slots array<string>"
+_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
 def _item_windows(batches):
     for batch in batches:
         rows = []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-            t, at, words = template(text or "")
-            width = min(WINDOW, len(t))
-            if item is None or not width:
+            t, at, words, plain = _parse(text or "")
+            if item is None or not len(t):
                 continue
+            width = min(WINDOW, len(t))
             h, lit = run_hash(t, width), _literal(t, width)
             for k in np.flatnonzero(lit >= min(LITERAL, width)):
-                rows.append((int(h[k].view(np.int64)), item, int(k), width, len(t), _slots(t, at, words, k, width)))
-        yield _batch(rows, ["window", "item_id", "item_at", "width", "item_tokens", "item_slots"])
+                rows.append((int(h[k].view(np.int64)), item, int(k), int(at[k]), int(at[k + width] - at[k]), width, len(t), len(words), False, _slots(t, at, words, k, width)))
+            width = min(WINDOW, len(words))
+            for k, x in enumerate(_plain_windows(plain, width)):
+                rows.append((int(x.view(np.int64)), item, _token_at(at, k), k, width, width, len(t), len(words), True, []))
+        yield _batch(rows, _ITEM)
 
 
-def _batch(rows, names):
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+def _batch(rows, schema):
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], list(names))
 
 
 def _spots(h: np.ndarray) -> list[np.ndarray]:
@@ -130,7 +157,7 @@ def _bloom(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))], ["bit"])
 
 
-def _doc_windows(bits: np.ndarray, widths: list[int]):
+def _doc_windows(bits: np.ndarray, widths: list[tuple[bool, int]]):
     packed = bits
 
     def run(batches):
@@ -140,20 +167,22 @@ def _doc_windows(bits: np.ndarray, widths: list[int]):
                 text = text.as_py()
                 if i is None or not text:
                     continue
-                t, at, words = template(text)
-                for width in widths:
-                    if len(t) < width:
+                t, at, words, plain = _parse(text)
+                for of_words, width in widths:
+                    if len(plain if of_words else t) < width:
                         continue
-                    h = run_hash(t, width)
-                    ok = _literal(t, width) >= min(LITERAL, width)
+                    h = _plain_windows(plain, width) if of_words else run_hash(t, width)
+                    ok = np.ones(len(h), bool) if of_words else _literal(t, width) >= min(LITERAL, width)
                     for s in _spots(h):
                         ok &= (packed[s >> 3] >> (s & 7)) & 1 == 1
-                    rows += [(int(h[k].view(np.int64)), i, int(k), width, len(words), _slots(t, at, words, k, width)) for k in np.flatnonzero(ok)]
+                    for k in np.flatnonzero(ok):
+                        where = (_token_at(at, k), int(k)) if of_words else (int(k), int(at[k]))
+                        rows.append((int(h[k].view(np.int64)), i, *where, width, of_words, [] if of_words else _slots(t, at, words, k, width)))
                 if len(rows) > 5000:
-                    yield _batch(rows, ["window", "doc_id", "doc_at", "doc_width", "doc_words", "doc_slots"])
+                    yield _batch(rows, _DOC)
                     rows = []
             if rows:
-                yield _batch(rows, ["window", "doc_id", "doc_at", "doc_width", "doc_words", "doc_slots"])
+                yield _batch(rows, _DOC)
 
     return run
 
@@ -178,30 +207,40 @@ def _judge(share: float):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                by: dict[int, dict[int, tuple]] = {}
+                by: dict[tuple[bool, int], dict[int, dict]] = {}
                 for m in r["hits"]:
-                    by.setdefault(m["doc_at"] - m["item_at"], {})[m["item_at"]] = (m["item_at"], m["item_slots"], m["doc_slots"])
-                covered, changed, shift = max((*consistent(list(v.values()), r["width"]), -d) for d, v in by.items())
-                if covered >= share * r["item_tokens"]:
-                    rows.append((r["doc_id"], r["item_id"], covered / r["item_tokens"], changed, -shift))
+                    d = m["doc_word"] - m["item_word"] if m["plain"] else m["doc_at"] - m["item_at"]
+                    by.setdefault((m["plain"], d), {})[m["item_word"]] = m
+                best = max(_aligned(plain, list(v.values()), r["item_tokens"], r["item_words"]) for (plain, _), v in by.items())
+                if best[0] >= share:
+                    rows.append((r["doc_id"], r["item_id"], best[0], best[1], -best[2]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64()])], ["doc_id", "item_id", "coverage", "n_changed", "doc_at"])
 
     return run
 
 
+def _aligned(plain: bool, hits: list[dict], tokens: int, words: int) -> tuple[float, int, int]:
+    """Coverage, changed slots and minus the place in the document of one alignment."""
+    at = min(m["doc_at"] - m["item_at"] for m in hits)
+    if plain:
+        return len({k for m in hits for k in range(m["item_word"], m["item_word"] + m["item_span"])}) / words, 0, -at
+    covered, changed = consistent([(m["item_at"], m["item_slots"], m["doc_slots"]) for m in hits], hits[0]["width"])
+    return covered / tokens, changed, -at
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, coverage (of the item's tokens), n_changed (slots with another value), doc_at
+    """doc_id, item_id, coverage (of the item's tokens, or of its words where more of them are copied verbatim), n_changed (slots with another value), doc_at
     (template token where the item begins): a row for each document and item that it contains."""
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows, "window long, item_id long, item_at long, width long, item_tokens long, item_slots array<string>").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows, _ITEM).distinct()
     # the filter: at most BLOOM distinct bits, 1 MiB when packed, whatever the benchmark's size
     on = items.select("window").mapInArrow(_bloom, "bit int").distinct().toArrow()["bit"].to_numpy()
     flags = np.zeros(BLOOM, bool)
     flags[on] = True
     bits = np.packbits(flags, bitorder="little")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    windows = docs.mapInArrow(_doc_windows(bits, widths), "window long, doc_id long, doc_at long, doc_width long, doc_words long, doc_slots array<string>")
-    hits = windows.join(items, (windows.window == items.window) & (windows.doc_width == items.width))
-    by = hits.groupBy("doc_id", "item_id", "width", "item_tokens").agg(F.collect_set(F.struct("doc_at", "item_at", "doc_slots", "item_slots")).alias("hits"))
-    return by.select("doc_id", "item_id", "width", "item_tokens", "hits").mapInArrow(_judge(share), "doc_id long, item_id long, coverage double, n_changed int, doc_at long")
+    widths = sorted(tuple(r) for r in items.select("plain", "width").distinct().collect())
+    windows = docs.mapInArrow(_doc_windows(bits, widths), _DOC)
+    hits = windows.join(items, (windows.window == items.window) & (windows.doc_width == items.width) & (windows.doc_plain == items.plain))
+    by = hits.groupBy("doc_id", "item_id", "item_tokens", "item_words").agg(F.collect_set(F.struct("plain", "doc_at", "item_at", "doc_word", "item_word", "item_span", "width", "doc_slots", "item_slots")).alias("hits"))
+    return by.select("doc_id", "item_id", "item_tokens", "item_words", "hits").mapInArrow(_judge(share), "doc_id long, item_id long, coverage double, n_changed int, doc_at long")

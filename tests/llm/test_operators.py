@@ -250,6 +250,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(spark, df, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_verbatim(spark):
+    """Verbatim copies of items of few literal tokens are found: sums, number lists, tables, title case, all capitals."""
+    items = ["Compute 12 * 7.", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3", "WHICH RIVER FLOWS THROUGH THE OLD TOWN OF BERN", "The Great Wall Of China Was Built By Ming Emperors", "Rome 12 Oslo 7 Bern 9 Lima 4 | total 32 of 40 for Anna Berg and Paul Wolf in May 2020", "12"]
+    rows = [(k, f"noise before and {t} then after") for k, t in enumerate(items)] + [(50, "noise before and Compute 12 * 8. then 3 1 4 1 5 after"), (51, None)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(spark, df, bench).collect()}
+    plain = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    holds = lambda d, i: any(d[k : k + len(i)] == i for k in range(len(d)))
+    assert set(got) == {(d, i) for d, t in rows if t for i, x in enumerate(items) if holds(plain(t), plain(x))}
+    assert all(r.coverage == 1 and r.n_changed == 0 for r in got.values())
+
+
 def test_minhash_tiles(spark, docs, monkeypatch):
     """Small limits send every open bucket through the tiles; the result stays."""
     want = sorted(minhash.near_duplicates(spark, docs[0]).collect(), key=str)
