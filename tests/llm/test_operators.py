@@ -263,6 +263,21 @@ def test_decontamination_verbatim(spark):
     assert all(r.coverage == 1 and r.n_changed == 0 for r in got.values())
 
 
+def test_decontamination_edited(spark):
+    """An item copied with words put in, left out or its units written another way is found; parts of it far from each other aren't."""
+    w = [f"tok{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30)]
+    far = ["pad"] * 400
+    sums = "mix 5 kg of flour with 25 percent more water and then bake it for 30 min until done"
+    rows = [
+        (1, [*w[:10], "very", *w[10:20], "much", *w[20:]]), (2, [*w[:10], *w[11:20], *w[21:]]), (3, [*w[:10], *far, *w[10:20], *far, *w[20:]]),
+        (4, sums.replace("5 kg", "5kg").replace("25 percent", "25%").replace("30 min", "30min").split()), (5, sums.replace("5 kg", "7kg").replace("25 percent", "40%").split()), (6, w[:10]),
+    ]
+    df = spark.createDataFrame([(i, " ".join(["noise", *t, "end"])) for i, t in rows], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, sums)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 4), r.n_changed) for r in decontaminate.contaminated(spark, df, bench).collect()}
+    assert got == {(1, 1): (1, 0), (2, 1): (round(28 / 30, 4), 0), (4, 2): (1, 0), (5, 2): (1, 2)}
+
+
 def test_minhash_tiles(spark, docs, monkeypatch):
     """Small limits send every open bucket through the tiles; the result stays."""
     want = sorted(minhash.near_duplicates(spark, docs[0]).collect(), key=str)
