@@ -1,4 +1,4 @@
-"""Garbage filters, extraction quality and chunk inspection as Columns."""
+"""Garbage filters and extraction quality as Columns."""
 
 from __future__ import annotations
 

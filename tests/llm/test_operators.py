@@ -278,6 +278,60 @@ def test_decontamination_edited(spark):
     assert got == {(1, 1): (1, 0), (2, 1): (round(28 / 30, 4), 0), (4, 2): (1, 0), (5, 2): (1, 2)}
 
 
+def leaks(docs, items):
+    """{(doc_id, item_id): (coverage, n_changed, doc_at)} from all pairs of windows, compared token by token without hashes of windows, filter or join."""
+    D, out = decontaminate, {}
+    for item, text in items:
+        t, at, words, plain = D._parse(text or "")
+        if item is None or not len(t):
+            continue
+        n, w = min(D.WINDOW, len(t)), min(D.WINDOW, len(words))
+        for doc, other in docs:
+            if doc is None or not other:
+                continue
+            u, to, heard, bare = D._parse(other)
+            hits = [
+                {"plain": False, "item_at": i, "item_word": int(at[i]), "item_span": int(at[i + n] - at[i]), "width": n, "item_slots": D._slots(t, at, words, i, n), "doc_at": k, "doc_word": int(to[k]), "doc_slots": D._slots(u, to, heard, k, n)}
+                for i in range(len(t) - n + 1) if sum(x not in (D.NUM, D.NAME) for x in t[i : i + n]) >= min(D.LITERAL, n) for k in range(len(u) - n + 1) if (t[i : i + n] == u[k : k + n]).all()
+            ]
+            hits += [
+                {"plain": True, "item_at": max(j for j in range(len(t)) if at[j] <= i), "item_word": i, "item_span": w, "width": w, "item_slots": [], "doc_at": max(j for j in range(len(u)) if to[j] <= k), "doc_word": k, "doc_slots": []}
+                for i in range(len(words) - w + 1) for k in range(len(heard) - w + 1) if (plain[i : i + w] == bare[k : k + w]).all()
+            ]
+            if hits and (best := D.cover(hits, len(t), len(words)))[0] >= D.SHARE:
+                out[doc, item] = (best[0], best[1], -best[2])
+    return out
+
+
+def test_decontamination_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b", "c", "d", "e", "Anna", "Berg", "Bern.", "12", "7", "5kg", "5 kg", "25%", "x.", "*", "KM"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 4, 9, 14, 25])))) for i in range(12)] + [(90, None), (91, ""), (None, "a b")]
+    docs = [(None, items[0][1]), (80, None), (81, ""), (82, " ")]
+    for i in range(40):
+        w = [word() for _ in range(rng.randrange(12))]
+        for x in rng.choice([x for x in items if x[1]])[1].split():
+            w += rng.choice([[x]] * 12 + [[], [x, word()], [word()]])
+        docs.append((i, " ".join(w + [word() for _ in range(rng.randrange(12))])))
+    got = decontaminate.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got, want = {(r.doc_id, r.item_id): (round(r.coverage, 9), r.n_changed, r.doc_at) for r in got.collect()}, leaks(docs, items)
+    assert len(want) > 40 and got == {k: (round(c, 9), n, at) for k, (c, n, at) in want.items()}
+
+
+def test_pipeline_decontaminates(spark):
+    """The fourth stage of the pipeline leaves out the documents that hold an item by brute force, and nothing else."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(i, " ".join(w.split()[:60])) for i, w in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40).collect()]
+    docs += [(9000 + i, f"before {t} after") for i, t in items[:5]]
+    bad = {d for d, _ in leaks(docs, items)}
+    left = dict(corpus_pipeline.STAGES)["decontamination"](spark, spark.createDataFrame([*docs, (None, items[0][1])], "doc_id long, text string"), sf).collect()
+    assert len(bad) >= 5 and sorted((r.doc_id, r.text) for r in left if r.doc_id is not None) == sorted(x for x in docs if x[0] not in bad)
+    assert [r.text for r in left if r.doc_id is None] == [items[0][1]]
+
+
 def test_minhash_tiles(spark, docs, monkeypatch):
     """Small limits send every open bucket through the tiles; the result stays."""
     want = sorted(minhash.near_duplicates(spark, docs[0]).collect(), key=str)
