@@ -2,9 +2,10 @@
 
 A window is LENGTH bytes of one document; its anchor is the smallest hash of its MER-byte runs. Windows
 in a row with the same anchor form a span (about 590 bytes for 190 windows), and equal windows always have the
-same anchor. First only anchors, span hashes and places travel, about a tenth of the text. Equal spans are
-grouped there (partial aggregation), so of a hot group of copies one span goes on. Only spans whose anchor occurs in more
-than one place (or twice in the span) are cut from the texts and sent to shards by anchor. A shard builds its suffix array by induced
+same anchor. First only anchors, span digests (128 bits of BLAKE2b, a cryptographic hash) and places travel, about a fifth of the text. Equal
+spans are grouped there (partial aggregation), so of a hot group of copies one span goes on. Only spans whose anchor occurs in more
+than one place (or twice in the span) are cut from the texts and sent to shards by anchor, unless all spans of the anchor occur
+more than once, as then all their windows do. A shard builds its suffix array by induced
 sorting and permuted common prefixes (suffix_array.py) and marks the windows that share LENGTH bytes with a neighbour, or
 whose span occurs more than once. The marks go back to all places of a span by a join.
 
@@ -15,19 +16,22 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, numbers, parts, run_hash, ship, sliding_min, span_hashes, steps
+from .common import materialise, mix, named, numbers, parts, run_hash, ship, sliding_min, steps
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, MER = 400, 16
 #: Bytes of spans aimed at in one shard.
-SHARD = 3 << 20
+SHARD = 2 << 20
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
 _KEY = ["anchor", "span", "len"]
+_KEYS = "anchor long, span binary, len int"
 
 
 def _anchors(batches):
@@ -56,8 +60,10 @@ def _anchors(batches):
         again = np.zeros(len(s), bool)
         again[there] = stands[twice[k[there]] + 1] + MER <= e[there]
         ids, th = numbers(batch.column("doc_id")), numbers(batch.column("th"))
+        raw = data.tobytes()
+        spans = [blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(s.tolist(), e.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(low[edge[:-1]].view(np.int64)), pa.array(span_hashes(data, s, e).view(np.int64)), pa.array((e - s).astype(np.int32)), pa.array(ids[d]), pa.array(th[d]), pa.array((s - bounds[d]).astype(np.int64)), pa.array(again)],
+            [pa.array(low[edge[:-1]].view(np.int64)), pa.array(spans, pa.binary()), pa.array((e - s).astype(np.int32)), pa.array(ids[d]), pa.array(th[d]), pa.array((s - bounds[d]).astype(np.int64)), pa.array(again)],
             [*_KEY, "id", "th", "start", "again"],
         )
 
@@ -96,9 +102,10 @@ def repeated(texts: list[bytes], many: np.ndarray, length: int = LENGTH) -> np.n
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    keys = np.stack([table[k].to_numpy().astype(np.int64) for k in _KEY], 1)
-    one = np.sort(np.unique(keys, axis=0, return_index=True)[1])  # rows that repeat id and text bring a span twice
-    table = table.take(pa.array(one))
+    seen: dict = {}  # rows that repeat id and text bring a span twice
+    for k, key in enumerate(zip(table["anchor"].to_pylist(), table["span"].to_pylist())):
+        seen.setdefault(key, k)
+    table = table.take(pa.array(list(seen.values())))
     texts, many = table["bytes"].to_pylist(), table["many"].to_numpy(zero_copy_only=False)
     mark = repeated(texts, many)
     m = np.concatenate([[False], mark, [False]])
@@ -135,23 +142,26 @@ def _cut(batches):
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, kept_bytes, n_bytes, n_removed, n_spans; one row for each input row."""
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("th"))
     # never null, so that no join adds a filter below the shared exchange
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    places = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).mapInArrow(_anchors, "anchor long, span long, len int, id long, th long, start long, again boolean")
+    places = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).mapInArrow(_anchors, f"{_KEYS}, id long, th long, start long, again boolean")
     places = materialise(spark, places, "anchors")
     place = F.struct("id", "th", "start")
     spans = places.groupBy(*_KEY).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("again").alias("again"))
-    shared = spans.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.max("again").alias("again")).where("a != b or again").select("anchor")
-    spans = spans.join(shared, "anchor").select(*_KEY, F.col("low.*"), (F.col("low") != F.col("high")).alias("many"))
+    shared = spans.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("b"), F.max("again").alias("again"), F.min(F.col("low") != F.col("high")).alias("whole"))
+    shared = shared.where("a != b or again").select("anchor", "whole")
+    spans = spans.join(shared, "anchor").select(*_KEY, F.col("low.*"), (F.col("low") != F.col("high")).alias("many"), "whole")
     spans = materialise(spark, spans, "spans")
+    whole, spans = spans.where("whole"), spans.where("not whole")
     total = int(spans.agg(F.sum("len")).first()[0] or 0)
     own = spans.groupBy("id", "th").agg(F.collect_list(F.struct(*_KEY, "start", "many")).alias("own"))
     # the texts are dealt by id and hash once: both joins below reuse that exchange
     dealt = docs.repartition(parts(spark, 0, 1), "k", "th")
     once = dealt.join(own, (dealt.k == own.id) & (dealt.th == own.th)).select("doc_id", "text", "own")
-    cut = once.mapInArrow(_spans(-(-total // SHARD) or 1), "shard long, anchor long, span long, len int, many boolean, bytes binary")
-    marks = cut.groupBy("shard").applyInArrow(_shard, "anchor long, span long, len int, s long, e long")
+    cut = once.mapInArrow(_spans(-(-total // SHARD) or 1), f"shard long, {_KEYS}, many boolean, bytes binary")
+    marks = cut.groupBy("shard").applyInArrow(_shard, f"{_KEYS}, s long, e long")
+    marks = marks.union(whole.select(*_KEY, F.lit(0).cast("long"), F.col("len").cast("long")))
     marks = marks.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("marks"))
     hits = places.join(marks, _KEY).select("id", F.col("th").alias("h"), F.explode("marks").alias("m"), "start")
     cuts = hits.groupBy("id", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("m.s")).alias("s"), (F.col("start") + F.col("m.e")).alias("e"))).alias("cuts"))

@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -27,10 +27,12 @@ _P = 0x9E3779B97F4A7C15 | 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; an own temporary one only where none is set (tests)."""
+    """The cluster's shared folder. Only a session on one machine that names none gets a temporary one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quern-"))
     return _own[0]
@@ -83,9 +85,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and back ticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns beside it can't clash with them."""
+    return F.struct(*[named(c) for c in df.columns])
+
+
+def whole_row(df: DataFrame, row: str = "row") -> DataFrame:
+    """The columns of such a struct, as they were."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in df.schema[row].dataType.names])
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of all texts: one JVM-side pass, used to size partitions."""
-    return int(df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
+    return int(df.agg(F.sum(F.octet_length(named(text_col)))).first()[0] or 0)
 
 
 def parts(spark: SparkSession, total: int, each: int) -> int:
@@ -103,42 +120,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        k = min(done, n - done)
-        out[done : done + k] = out[:k] * np.uint64(pow(base, done, 1 << 64))
-        done += k
-    return out
-
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 256
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the byte spans data[starts:ends], mixed with their lengths.
-
-    Works in blocks of spans (sorted by start) so that memory follows STEP_BYTES.
-    """
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STEP_BYTES)))
-        lo, hi = int(starts[i]), int(ends[i:j].max())
-        n = hi - lo
-        if not _tables or len(_tables[0][0]) <= n:
-            size = max(n + 1, STEP_BYTES * 5 // 4)
-            _tables[0] = (_powers(size, _P), _powers(size, pow(_P, -1, 1 << 64)))
-        up, down = _tables[0]
-        acc = np.empty(n + 1, np.uint64)
-        acc[0] = 0
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:n], out=acc[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (acc[e] - acc[s]) * down[s]
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(_P))
+    """64-bit hashes of the byte spans data[starts:ends]: every eight bytes are mixed with their place in the span, and the
+    sum with the length. Equal hashes are a reason to compare, not a proof."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = np.zeros(len(starts), np.uint64)
+    at, k = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(at):
+        out[at] += mix((eight[starts[at] + 8 * k] & _MASK[np.minimum(size[at] - 8 * k, 8)]) + np.uint64((k + 1) * _P % (1 << 64)))
+        k += 1
+        at = at[size[at] > 8 * k]
+    for i in np.flatnonzero(size > _LONG):
+        s, e = int(starts[i]), int(ends[i])
+        for lo in range(s, e, STEP_BYTES):
+            w = eight[lo : min(e, lo + STEP_BYTES) : 8].copy()
+            if lo + 8 * len(w) > e:
+                w[-1] &= _MASK[e - lo - 8 * (len(w) - 1)]
+            place = np.arange((lo - s) // 8 + 1, (lo - s) // 8 + 1 + len(w), dtype=np.uint64)
+            out[i] += mix(w + place * np.uint64(_P)).sum()
+    return mix(out + size.astype(np.uint64) * np.uint64(_P))
 
 
 def run_hash(h: np.ndarray, n: int) -> np.ndarray:
