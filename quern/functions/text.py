@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters, marks and digits of any script.
@@ -65,6 +65,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+def shared_counts(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """a < b, na, nb, shared: how many items the multisets of two keys share, and their sizes. Items meet by an equi-join, each
+    with its count."""
+    n = rows.groupBy(key, item).agg(F.count(F.lit(1)).alias("n"))
+    size = n.groupBy(key).agg(F.sum("n").alias("size"))
+    left, right = n.select(F.col(key).alias("a"), item, F.col("n").alias("ia")), n.select(F.col(key).alias("b"), item, F.col("n").alias("ib"))
+    both = left.join(right, item).where("a < b").groupBy("a", "b").agg(F.sum(F.least("ia", "ib")).alias("shared"))
+    return both.join(size.select(F.col(key).alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col(key).alias("b"), F.col("size").alias("nb")), "b")
+
+
 def any_contains(c: Column, words: Iterable[str]) -> Column:
     """Whether c contains any of the given strings."""
     out = F.lit(False)

@@ -86,15 +86,15 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
 def quotas(df: DataFrame, query: str, source: str, order: Sequence[Column], quota: dict[str, int], total: int) -> DataFrame:
     """At most quota[source] rows of each source by order, then at most `total` rows of a query."""
     limit = F.coalesce(*[F.when(F.col(source) == s, F.lit(n)) for s, n in quota.items()], F.lit(0))
-    per = df.withColumn("source_rank", F.row_number().over(Window.partitionBy(query, source).orderBy(*order)))
-    per = per.where(F.col("source_rank") <= limit)
+    most = max(quota.values(), default=0)  # a literal limit lets Spark drop rows before the shuffle
+    per = top(df.where(limit > 0), [query, source], order, most, "source_rank").where(F.col("source_rank") <= limit)
     return per.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("place") <= total)
 
 
 def keep_or_all(df: DataFrame, query: str, passes: Column) -> DataFrame:
     """Rows that pass; all rows of a query of which none does."""
-    n = F.count_if(passes).over(Window.partitionBy(query))
-    return df.withColumn("_n", n).where(passes | (F.col("_n") == 0)).drop("_n")
+    some = df.groupBy(query).agg(F.max(passes).alias("_some"))  # a row for each query, combined before the shuffle
+    return df.join(small(some), query).where(passes | ~F.coalesce("_some", F.lit(False))).drop("_some")
 
 
 def running_page(df: DataFrame, by: Sequence[str], order: Sequence[Column], size: Column, budget: int) -> DataFrame:

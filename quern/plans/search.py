@@ -8,35 +8,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules as W
 from ..functions import text as X
 from ..operators.relational import contains_cnf, small, top
 from ..sources.readers import table
 from .base import query
 
-#: Fixed rule pack for the tests' corpus: additive weights of a hit.
-TOKEN, COVER, PHRASE = 8, 20, 30
+#: Additive weights of a hit, of covering the question, of holding it word for word; candidates of a question kept at most.
+TOKEN, COVER, PHRASE, MOST = 8, 20, 30, 30
 
 _TOK = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{M}}\p{{N}}]+)', 1)"
 DT, QT = _TOK.format("text"), _TOK.format("text")
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
 _HITS = rf"""
-q as (select item_id, list_distinct({QT}) as all_terms, {_NORM.format("text")} as norm from benchmark),
-qt as (select item_id, unnest(list_filter(all_terms, lambda t: length(t) >= 6)) as term from q),
+q as (select item_id, {W.search_terms_sql("text")} as terms, {_NORM.format("text")} as norm from benchmark),
+qt as (select item_id, unnest(terms) as term from q),
 nq as (select item_id, count(*) as n_terms from qt group by item_id),
 dt as (select distinct doc_id, unnest({DT}) as term from documents),
 hits as (select item_id, doc_id, count(*) as hits from qt join dt using (term) group by item_id, doc_id)"""
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "benchmark")
-    return q.select("item_id", F.filter(F.array_distinct(X.tokens(F.col("text"))), lambda t: F.length(t) >= 6).alias("terms"), X.normalise(F.col("text")).alias("norm"))
+    return table(spark, sf, "benchmark").select("item_id", W.search_terms(F.col("text")).alias("terms"), X.normalise(F.col("text")).alias("norm"))
 
 
 def token_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """item_id, doc_id, hits, n_terms for pairs that share a term of at least six signs."""
-    q = questions(spark, sf)
-    qt = q.select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    dt = table(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.array_distinct(X.tokens(F.col("text"))), lambda t: F.length(t) >= 6)).alias("term"))
+    """item_id, doc_id, hits, n_terms for pairs that share a search term."""
+    qt = questions(spark, sf).select("item_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    dt = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    # tokens that no question has go before anything is counted; counts combine before the shuffle
     return dt.join(small(qt), "term").groupBy("item_id", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -55,13 +55,13 @@ def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
     f"""with {_HITS},
 s as (select h.item_id, h.doc_id, {TOKEN} * hits + {COVER} * hits / n_terms::double
     + case when contains({_NORM.format("d.text")}, q.norm) then {PHRASE} else 0 end as score
-  from hits h join nq using (item_id) join q using (item_id) join documents d using (doc_id) where hits >= 3),
+  from hits h join nq using (item_id) join q using (item_id) join documents d using (doc_id) where hits >= least(3, n_terms)),
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as rank from s)
 select item_id, doc_id, round(score, 4) as score, rank from r where rank <= 5"""
 )
 def phrase_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Token hits gate the phrase test, so only candidates' texts are looked at."""
-    h = token_hits(spark, sf).where("hits >= 3").join(small(questions(spark, sf).select("item_id", "norm")), "item_id")
+    """Token hits gate the phrase test: a text with the whole question has all its terms, so none is missed."""
+    h = token_hits(spark, sf).where("hits >= least(3, n_terms)").join(small(questions(spark, sf).select("item_id", "norm")), "item_id")
     d = table(spark, sf, "documents").select("doc_id", X.normalise(F.col("text")).alias("doc"))
     s = h.join(d, "doc_id").withColumn("score", TOKEN * F.col("hits") + COVER * F.col("hits") / F.col("n_terms") + F.when(F.contains("doc", "norm"), PHRASE).otherwise(0))
     return top(s, ["item_id"], [F.desc("score"), F.desc("doc_id")], 5).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
@@ -108,17 +108,19 @@ def weighted_case_score(spark: SparkSession, sf: str) -> DataFrame:
     f"""with {_HITS},
 c as (select item_id, doc_id, 9 * hits as tokens, case when source in ('src0', 'src1') then 18 else 0 end as kind,
     least(20, 4 * hits) as cover, case when n_chars > 2000 then -6 else 0 end as length
-  from hits join documents using (doc_id) where hits >= 2)
-select item_id, doc_id, tokens, kind, cover, length, tokens + kind + cover + length as score from c"""
+  from hits join documents using (doc_id)),
+s as (select *, tokens + kind + cover + length as score from c), r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s)
+select item_id, doc_id, tokens, kind, cover, length, score, rank from r where rank <= {MOST}"""
 )
 def hybrid_component_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Named components that add up to the score."""
+    """Named components that add up to the score; the best candidates of each question."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    c = token_hits(spark, sf).where("hits >= 2").join(d, "doc_id").select(
+    c = token_hits(spark, sf).join(d, "doc_id").select(
         "item_id", "doc_id", (9 * F.col("hits")).alias("tokens"), F.when(F.col("source").isin("src0", "src1"), 18).otherwise(0).alias("kind"),
         F.least(F.lit(20), 4 * F.col("hits")).alias("cover"), F.when(F.col("n_chars") > 2000, -6).otherwise(0).alias("length"),
     )
-    return c.withColumn("score", F.col("tokens") + F.col("kind") + F.col("cover") + F.col("length"))
+    s = c.withColumn("score", F.col("tokens") + F.col("kind") + F.col("cover") + F.col("length"))
+    return top(s, ["item_id"], [F.desc("score"), F.asc("doc_id")], MOST)
 
 
 @query(
@@ -137,51 +139,49 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""with {_HITS},
-kw as (select doc_id as id, {TOKEN} * hits as kw from hits where item_id = 1),
-v as (select vec_id, embedding::double[] as e from embeddings), p as (select e from v where vec_id = 1),
-sem as (select vec_id as id, floor(200 * list_cosine_similarity(p.e, v.e) + 0.5)::bigint as sem from v, p where vec_id <> 1 and list_cosine_similarity(p.e, v.e) > 0.1)
-select id, kw, sem, case when kw is null then sem when sem is null then kw else kw + floor(0.3::double * sem + 0.5) end::double as score from kw full outer join sem using (id)"""
+kr as (select item_id, doc_id as id, {TOKEN} * hits as kw, row_number() over (partition by item_id order by hits desc, doc_id) as k from hits),
+v as (select vec_id, embedding::double[] as e from embeddings), p as (select item_id, e from benchmark join v on vec_id = item_id),
+sr as (select item_id, vec_id as id, list_cosine_similarity(p.e, v.e) as sim from p join v on vec_id <> item_id),
+sk as (select item_id, id, floor(200 * sim + 0.5)::bigint as sem, row_number() over (partition by item_id order by sim desc, id) as k from sr),
+f as (select item_id, id, kr.kw, sk.sem from (select * from kr where k <= {MOST}) kr full outer join (select * from sk where k <= {MOST}) sk using (item_id, id))
+select item_id, id, kw, sem, case when kw is null then sem when sem is null then kw else kw + floor(0.3::double * sem + 0.5) end::double as score from f"""
 )
 def full_outer_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword and vector hits of one question merged; both: keyword score and 0.3 of the vector's."""
-    kw = token_hits(spark, sf).where("item_id = 1").select(F.col("doc_id").alias("id"), (TOKEN * F.col("hits")).alias("kw"))
+    """For each question the best keyword and vector hits merged (its vector is the one of its own id); both: keyword score and 0.3 of the vector's."""
+    kw = top(token_hits(spark, sf), ["item_id"], [F.desc("hits"), F.asc("doc_id")], MOST).select("item_id", F.col("doc_id").alias("id"), (TOKEN * F.col("hits")).alias("kw"))
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    p = v.where("vec_id = 1").select(F.col("embedding").alias("pe"))
-    sem = v.where("vec_id != 1").join(F.broadcast(p.limit(1))).withColumn("sim", X.cosine(F.col("pe"), F.col("embedding"))).where("sim > 0.1").select(F.col("vec_id").alias("id"), X.half_up(200 * F.col("sim")).alias("sem"))
+    p = v.join(small(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("pe"))
+    sim = v.join(small(p), F.col("vec_id") != F.col("item_id")).withColumn("sim", X.cosine(F.col("pe"), F.col("embedding")))
+    sem = top(sim, ["item_id"], [F.desc("sim"), F.asc("vec_id")], MOST).select("item_id", F.col("vec_id").alias("id"), X.half_up(200 * F.col("sim")).alias("sem"))
     both = F.col("kw") + X.half_up(F.lit(0.3) * F.col("sem"))
-    return kw.join(sem, "id", "full_outer").select("id", "kw", "sem", F.when(F.col("kw").isNull(), F.col("sem")).when(F.col("sem").isNull(), F.col("kw")).otherwise(both).cast("double").alias("score"))
+    return kw.join(sem, ["item_id", "id"], "full_outer").select("item_id", "id", "kw", "sem", F.when(F.col("kw").isNull(), F.col("sem")).when(F.col("sem").isNull(), F.col("kw")).otherwise(both).cast("double").alias("score"))
 
 
 @query(
     f"""with {_HITS},
-m as (select item_id, doc_id, hits, max(hits) over (partition by item_id) as best from hits)
-select item_id, doc_id, hits from m where best < 18 or hits >= 18"""
+m as (select item_id, doc_id, hits, max(hits) over (partition by item_id) as best from hits),
+r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from m where best < 8 or hits >= 8)
+select item_id, doc_id, hits from r where rank <= {MOST}"""
 )
 def semantic_gate(spark: SparkSession, sf: str) -> DataFrame:
     """A stage that runs only for weak questions: a gate column instead of a data-dependent branch."""
-    from pyspark.sql import Window
-
-    m = token_hits(spark, sf).withColumn("best", F.max("hits").over(Window.partitionBy("item_id")))
-    return m.where("best < 18 or hits >= 18").select("item_id", "doc_id", "hits")
-
-
-_Q = _TOK.format("q.text")
-_D = _TOK.format("b.text")
+    hits = token_hits(spark, sf)
+    best = hits.groupBy("item_id").agg(F.max("hits").alias("best"))
+    m = hits.join(small(best), "item_id").where("best < 8 or hits >= 8")
+    return top(m, ["item_id"], [F.desc("hits"), F.asc("doc_id")], MOST).select("item_id", "doc_id", "hits")
 
 
 @query(
-    rf"""with t as (select item_id, list_distinct({QT}) as t from benchmark),
-x as (select item_id, unnest(list_filter(t, lambda w: length(w) >= 6)) as term from t),
-p as (select distinct a.item_id as a, b.item_id as b from x a join x b using (term) where a.item_id < b.item_id),
-s as (select a, b, len(list_intersect(x.t, y.t)) as shared, len(x.t) as nx, len(y.t) as ny from p join t x on x.item_id = a join t y on y.item_id = b)
+    rf"""with t as (select item_id, {DT} as t from benchmark),
+x as (select distinct item_id, unnest(t) as term from t), n as (select item_id, count(*) as n from x group by 1),
+p as (select a.item_id as a, b.item_id as b, count(*) as shared from x a join x b using (term) where a.item_id < b.item_id group by 1, 2),
+s as (select p.*, x.n as nx, y.n as ny from p join n x on x.item_id = a join n y on y.item_id = b)
 select a, b, round(shared / (nx + ny - shared)::double, 5) as jaccard, round(shared / nx::double, 5) as cover,
   round(0.55::double * shared / (nx + ny - shared) + 0.35::double * shared / nx, 4) as similarity from s"""
 )
 def qa_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions that share a longer term: weighted Jaccard and coverage of their token sets."""
-    t = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    x = t.select("item_id", F.explode(F.filter("t", lambda w: F.length(w) >= 6)).alias("term"))
-    p = x.select("term", F.col("item_id").alias("a")).join(x.select("term", F.col("item_id").alias("b")), "term").where("a < b").select("a", "b").distinct()
-    s = p.join(t.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("item_id").alias("b"), F.col("t").alias("tb")), "b")
-    j, c = X.jaccard(F.col("ta"), F.col("tb")), X.coverage(F.col("ta"), F.col("tb"))
+    """Questions that share a token: weighted Jaccard and coverage of their token sets, counted by an equi-join on tokens."""
+    x = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    s = X.shared_counts(x, "item_id", "term")
+    j, c = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), F.col("shared") / F.col("na")
     return s.select("a", "b", F.round(j, 5).alias("jaccard"), F.round(c, 5).alias("cover"), F.round(0.55 * j + 0.35 * c, 4).alias("similarity"))

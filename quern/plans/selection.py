@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +10,9 @@ from ..functions import text as X
 from ..operators import relational as R
 from ..sources.readers import table
 from .base import query
-from .search import _HITS, token_hits
+from .search import _HITS, MOST, token_hits
 
-#: Fixed rule pack: quotas and authority by source.
+#: Quotas by source.
 QUOTA = {"src0": 3, "src1": 2, "src2": 2, "src3": 1}
 _QUOTA = "case source when 'src0' then 3 when 'src1' then 2 when 'src2' then 2 when 'src3' then 1 else 0 end"
 AS_OF = "2024-02-01"
@@ -45,11 +46,13 @@ def selection_trace(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf).join(got, ["item_id", "doc_id"], "left").groupBy("item_id", "source").agg(F.count(F.lit(1)).alias("candidates"), F.count("taken").alias("selected"))
 
 
-@query(f"with {_CAND}, a as (select *, first_value(source) over (partition by item_id order by hits desc, doc_id) as anchor from cand) select item_id, doc_id, anchor from a where source = anchor")
+@query(f"with {_CAND}, a as (select *, first_value(source) over (partition by item_id order by hits desc, doc_id) as anchor from cand), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as k from a where source = anchor) select item_id, doc_id, anchor from r where k <= {MOST}")
 def anchor_coherence(spark: SparkSession, sf: str) -> DataFrame:
     """Only rows of the source of the best row."""
-    best = candidates(spark, sf).groupBy("item_id").agg(F.min_by("source", F.struct(-F.col("hits"), "doc_id")).alias("anchor"))
-    return candidates(spark, sf).join(R.small(best), "item_id").where("source = anchor").select("item_id", "doc_id", "anchor")
+    # the best rows of each source: those of the best row's source are then among them
+    per = R.top(candidates(spark, sf), ["item_id", "source"], [F.desc("hits"), F.asc("doc_id")], MOST)
+    anchor = F.first("source").over(Window.partitionBy("item_id").orderBy(F.desc("hits"), F.asc("doc_id")))
+    return per.withColumn("anchor", anchor).where("source = anchor").select("item_id", "doc_id", "anchor")
 
 
 @query(
@@ -70,33 +73,41 @@ def union_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""with {_CAND}, b as (select *, max(case when source = 'src0' then hits end) over (partition by item_id) as best from cand)
-select item_id, doc_id, case when source = 'src0' then 1 else 2 end as stage from b where source = 'src0' or coalesce(best, 0) < 4"""
+    f"""with {_CAND}, b as (select *, max(case when source = 'src0' then hits end) over (partition by item_id) as best from cand),
+r as (select *, case when source = 'src0' then 1 else 2 end as stage from b where source = 'src0' or coalesce(best, 0) < 4),
+k as (select *, row_number() over (partition by item_id order by stage, hits desc, doc_id) as k from r)
+select item_id, doc_id, stage from k where k <= {MOST}"""
 )
 def staged_union(spark: SparkSession, sf: str) -> DataFrame:
     """A second stage joins in only for questions whose first stage is weak."""
-    best = F.max(F.when(F.col("source") == "src0", F.col("hits"))).over(Window.partitionBy("item_id"))
-    b = candidates(spark, sf).withColumn("best", best)
-    return b.where((F.col("source") == "src0") | (F.coalesce("best", F.lit(0)) < 4)).select("item_id", "doc_id", F.when(F.col("source") == "src0", 1).otherwise(2).alias("stage"))
+    c = candidates(spark, sf)
+    best = c.groupBy("item_id").agg(F.max(F.when(F.col("source") == "src0", F.col("hits"))).alias("best"))
+    stage = F.when(F.col("source") == "src0", 1).otherwise(2)
+    b = c.join(R.small(best), "item_id").withColumn("stage", stage).where("stage = 1 or coalesce(best, 0) < 4")
+    return R.top(b, ["item_id"], [F.asc("stage"), F.desc("hits"), F.asc("doc_id")], MOST).select("item_id", "doc_id", "stage")
 
 
 @query(
-    """with d as (select doc_id, source, text, n_chars, substr(text, 1, 80) as head from documents where n_chars >= 80)
+    """with d as (select doc_id, source, text, length(text) as n, substr(text, 1, 80) as head from documents where text <> '')
 select distinct b.doc_id from d a join d b on a.source = b.source and a.head = b.head and a.doc_id < b.doc_id
-where (starts_with(a.text, b.text) or starts_with(b.text, a.text)) and least(length(a.text), length(b.text)) >= 0.92::double * greatest(length(a.text), length(b.text))"""
+where a.text = b.text or least(a.n, b.n) >= 80 and (starts_with(a.text, b.text) or starts_with(b.text, a.text)) and least(a.n, b.n) >= 0.92::double * greatest(a.n, b.n)"""
 )
 def prefix_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of one source that are equal or a prefix of one another at 0.92 of the length. Texts first meet by their first 80 signs;
-    equal texts are one row before they meet."""
-    d = table(spark, sf, "documents").where("n_chars >= 80")
-    one = d.groupBy("source", "text").agg(F.min("doc_id").alias("doc_id"))
-    one = one.withColumns({"head": F.substring("text", 1, 80), "n": F.length("text")})
-    a = one.select("source", "head", F.col("text").alias("ta"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    pairs = a.join(one, ["source", "head"]).where("a != doc_id and (startswith(ta, text) or startswith(text, ta)) and least(na, n) >= cast(0.92 as double) * greatest(na, n)")
-    # a text's smallest near text: its own rows and this one's decide which rows have an earlier near copy
-    low = pairs.groupBy("source", "text").agg(F.min("a").alias("low"))
-    rows = d.select("doc_id", "source", "text").join(one.select("source", "text", F.col("doc_id").alias("own")), ["source", "text"]).join(low, ["source", "text"], "left")
-    return rows.where("own < doc_id or low < doc_id").select("doc_id")
+    """Texts of one source that are equal, or from 80 signs on a prefix of one another at 0.92 of the length. Equal texts are one row
+    before any texts meet. Lengths are put in steps of 1 / 0.92, so two near lengths are at most two steps apart, and
+    both texts have all the signs that the lower step takes: they meet by a hash of these, not by a short common beginning."""
+    ratio = 0.92
+    d = table(spark, sf, "documents").where("text != ''").select("doc_id", "source", "text", F.sha2("text", 256).alias("h"))
+    one = d.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text")).withColumn("n", F.length("text"))
+    step = F.floor(F.log("n") / float(-np.log(ratio))).cast("int")
+    keyed = one.where("n >= 80").withColumn("step", F.explode(F.sequence(step - 2, step)))
+    keyed = keyed.withColumn("head", F.xxhash64(F.substr("text", F.lit(1), F.floor(F.pow(F.lit(1 / ratio), F.col("step"))).cast("int"))))
+    a = keyed.select("source", "step", "head", F.col("text").alias("ta"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    pairs = a.join(keyed, ["source", "step", "head"]).where("a != doc_id and (startswith(ta, text) or startswith(text, ta)) and least(na, n) >= cast(0.92 as double) * greatest(na, n)")
+    # the smallest id among a text's near texts, and its own: rows with a larger id have an earlier near copy
+    low = pairs.groupBy("source", "h").agg(F.min("a").alias("low"))
+    own = one.select("source", "h", F.col("doc_id").alias("own")).join(low, ["source", "h"], "left")
+    return d.select("doc_id", "source", "h").join(own, ["source", "h"]).where("own < doc_id or low < doc_id").select("doc_id")
 
 
 _RERANK = f"""{_CAND}, t as (select item_id, doc_id, 8 * hits as base, floor(1.2::double * case source when 'src0' then 10 when 'src1' then 6 else 2 end + 0.5)::int as priority,
@@ -158,9 +169,10 @@ def answerability(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"with {_CAND}, g as (select *, count(*) filter (where lang = 'de') over (partition by item_id) as n from cand) select item_id, doc_id from g where lang = 'de' or n = 0")
+@query(f"with {_CAND}, g as (select *, count(*) filter (where lang = 'de') over (partition by item_id) as n from cand), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as k from g where lang = 'de' or n = 0) select item_id, doc_id from r where k <= {MOST}")
 def focus_pruning(spark: SparkSession, sf: str) -> DataFrame:
-    return R.keep_or_all(candidates(spark, sf), "item_id", F.col("lang") == "de").select("item_id", "doc_id")
+    kept = R.keep_or_all(candidates(spark, sf), "item_id", F.col("lang") == "de")
+    return R.top(kept, ["item_id"], [F.desc("hits"), F.asc("doc_id")], MOST).select("item_id", "doc_id")
 
 
 @query(f"with {_HITS}, m as (select item_id, count(*) as n, max(8 * hits) as best from hits where hits >= 4 group by 1) select q.item_id, case when n is null then 'none' when best < 45 then 'weak' when n = 1 and best < 70 then 'single_weak' end as reason from q left join m using (item_id)")

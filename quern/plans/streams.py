@@ -10,23 +10,38 @@ from ..streaming import usage as U
 from .base import query
 
 
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    s = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("select ts::date as day, event_type, count(*) as n from events group by all")
 def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return U.daily_counts(table(spark, sf, "events"))
 
 
-@query("with w as (select user_id, event_type, time_bucket(interval 10 minute, ts) as w, arg_min(event_id, (ts, event_id)) as event_id from events group by all) select user_id, event_type, event_id from w")
+_KEPT = """with recursive k as (
+  select user_id, event_type, min((ts, event_id)) as m from events group by 1, 2
+  union all
+  select k.user_id, k.event_type, min((e.ts, e.event_id)) from k join events e on e.user_id = k.user_id and e.event_type = k.event_type and e.ts >= k.m[1] + interval 10 minute group by 1, 2, k.m
+) select user_id, event_type, m[2] as event_id from k"""
+
+
+@query(_KEPT)
 def throttle_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The first event of a user and type in each ten-minute window."""
-    return U.throttle(table(spark, sf, "events").select("ts", "event_id", "user_id", "event_type"), ["user_id", "event_type"]).select("user_id", "event_type", "event_id")
+    """Events of a user and type that come ten minutes or more after the last one let through."""
+    e = table(spark, sf, "events").select("ts", "event_id", "user_id", "event_type")
+    return U.throttle(e, ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query(_KEPT)
+def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rule with the last time as a stream's state."""
+    e = _stream(spark, sf).select("ts", "event_id", "user_id", "event_type")
+    return U.run_once(U.throttle(e, ["user_id", "event_type"], ["event_id"])).select("user_id", "event_type", "event_id")
 
 
 @query("select ts::date as day, event_type, count(*) as n from events group by all")
 def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The same counts through Structured Streaming, drained once in complete mode."""
-    import uuid
-
-    schema = table(spark, sf, "events").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    s = s.withColumn("ts", F.col("ts").cast("timestamp"))
-    return U.run_once(U.daily_counts(s), f"daily_{uuid.uuid4().hex}", "complete")
+    return U.run_once(U.daily_counts(_stream(spark, sf)), "complete")

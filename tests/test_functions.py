@@ -117,10 +117,18 @@ def test_upserts_and_deletes(spark):
     assert R.adapt(a, {"k": "string", "missing": "int"}).first().missing is None
 
 
-def test_stream_throttle_and_csv(spark, tmp_path):
-    rows = [(datetime.datetime(2024, 1, 1, 0, m), "q") for m in (0, 3, 40)]
-    spark.createDataFrame(rows, "ts timestamp, key string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema("ts timestamp, key string").parquet(str(tmp_path / "in"))
-    assert U.run_once(U.throttle(s, ["key"]), "throttled").count() == 1
+@pytest.mark.parametrize("kind", ["batch", "stream"])
+def test_throttle_lets_a_key_pass_ten_minutes_after_it_last_passed(spark, tmp_path, kind):
+    rows = [(datetime.datetime(2024, 1, 1, 0, m), "q", k) for k, m in enumerate((0, 3, 9, 11, 40))] + [(datetime.datetime(2024, 1, 1, 0, 3), "r", 9)]
+    df = spark.createDataFrame(rows, "ts timestamp, key string, n int")
+    if kind == "stream":
+        df.coalesce(1).write.parquet(str(tmp_path / "in"))
+        df = U.run_once(U.throttle(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["key"], ["n"]))
+    else:
+        df = U.throttle(df, ["key"], ["n"])
+    assert sorted((r.key, r.ts.minute) for r in df.collect()) == [("q", 0), ("q", 11), ("q", 40), ("r", 3)]
+
+
+def test_csv(spark, tmp_path):
     S.write_csv(spark.createDataFrame([("a", 1)], "x string, y int"), str(tmp_path / "csv"))
     assert any('"a","1"' in p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
