@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, steps
+from .common import materialise, named, ship, steps
 from .tokenizing import encoder
 
 CAPACITY, END = 1024, 2
@@ -72,10 +72,13 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
 
         chunk = TaskContext.get().partitionId()
         tail, seen = int(end).to_bytes(4, "little"), np.zeros(capacity + 1, np.int64)
-        for batch, _, _ in steps(batches, "text", 4 << 20):
+        for batch, data, bounds in steps(batches, "text", 4 << 20):
             ids, out = batch.column("doc_id").to_pylist(), []
-            for doc, raw in zip(ids, encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])):
-                raw += tail
+            flat, places = encoder(path).encode(data, bounds)
+            whole = flat.astype("<u4").tobytes()
+            places = (4 * places).tolist()
+            for doc, s, e in zip(ids, places[:-1], places[1:]):
+                raw = whole[s:e] + tail
                 n = len(raw) // 4
                 at, piece, size = 0, 0, n if n <= capacity else n % capacity or capacity
                 while at < n:
@@ -94,7 +97,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     """docs -> doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (little-endian
     unsigned 32-bit, if with_ids): one row for each piece."""
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     pieces = docs.mapInArrow(_pieces(tokenizer, capacity, end, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, chunk int, ids binary")
     pieces = materialise(spark, pieces, "pieces")
     counts = pieces.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))

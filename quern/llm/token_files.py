@@ -9,20 +9,21 @@ the id's first row in the table, so a key costs a few bit tests and two reads, a
 its fingerprint and then its id. Shards cover ranges of ids in ascending order; the manifest names their first and last ids.
 
 Results for odd input: null text is empty (only the end id); rows with a null id come first, are stored and read back, but aren't
-in the index; rows that repeat an id stand in a row, the index naming the first; an empty table gives no files. Other columns
+in the index; rows that repeat an id stand in a row (over several shards, if there are many of them), each shard's index naming its first; an empty table gives no files. Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, parts, scratch_path, ship, steps, text_bytes
+from .common import mix, named, parts, scratch_path, ship, steps, text_bytes
 from .storage import opened, writing
 from .tokenizing import encoder
 
@@ -140,30 +141,28 @@ def _write(folder: str, path: str, end: int):
 
         number = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{number:06d}.tok"
-        ids, sizes, out, ctx = [], [], None, None
-        width = 2 if max(encoder(path).largest, end) < 1 << 16 else 4
-        last = int(end).to_bytes(width, "little")
-        for batch, _, _ in steps(batches, "text", 4 << 20):
-            if out is None:
-                ctx = writing(uri)
-                out = ctx.__enter__()
-                out.write(MARK)
-            for raw in encoder(path).encode([t or "" for t in batch.column("text").to_pylist()]):
-                if width < 4:
-                    out.write(np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes() + last)
-                else:
-                    out.write(raw + last)
-                sizes.append(len(raw) // 4 + 1)
-            ids += [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
-        if out is None:
+        todo = steps(batches, "text", 4 << 20)
+        some = next(todo, None)
+        if some is None:
             return
-        keys, count = np.array(ids, "<i8"), np.array(sizes, "<i8")
-        table = np.stack([keys, np.cumsum(count) - count, count]).astype("<i8").tobytes()
-        distinct, rows = np.unique(keys, return_index=True)
-        known = distinct != _NULL
-        index = index_bytes(distinct[known], rows[known])
-        out.write(table + index + np.array([width * count.sum(), len(table), len(index), width], "<u8").tobytes())
-        ctx.__exit__(None, None, None)
+        ids, sizes = [], []
+        width = 2 if max(encoder(path).largest, end) < 1 << 16 else 4
+        with writing(uri) as out:
+            out.write(MARK)
+            for batch, data, bounds in chain([some], todo):
+                flat, at = encoder(path).encode(data, bounds)
+                n = np.diff(at)
+                with_end = np.full(len(flat) + len(n), end, f"<u{width}")
+                with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+                out.write(with_end.tobytes())
+                sizes.append(n + 1)
+                ids += [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
+            keys, count = np.array(ids, "<i8"), np.concatenate(sizes)
+            table = np.stack([keys, np.cumsum(count) - count, count]).astype("<i8").tobytes()
+            distinct, rows = np.unique(keys, return_index=True)
+            known = distinct != _NULL
+            index = index_bytes(distinct[known], rows[known])
+            out.write(table + index + np.array([width * count.sum(), len(table), len(index), width], "<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([uri]), pa.array([len(ids)]), pa.array([int(count.sum())]), pa.array([int(keys[0])]), pa.array([int(keys[-1])])], ["shard", "uri", "n_docs", "n_tokens", "first_id", "last_id"])
 
     return run
@@ -172,10 +171,12 @@ def _write(folder: str, path: str, end: int):
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> list:
     """Write the shard files; the manifest, a row for each shard in ascending order of ids."""
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     folder = folder or scratch_path(spark, "tokens")
     n = parts(spark, text_bytes(docs, "text"), SHARD)
-    rows = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(folder, tokenizer, end), "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long")
+    # ranges of id and place, so that an id that many rows repeat is spread over shards
+    dealt = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "place")
+    rows = dealt.sortWithinPartitions("doc_id", "place").mapInArrow(_write(folder, tokenizer, end), "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long")
     return sorted(rows.collect())
 
 
