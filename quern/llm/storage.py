@@ -14,16 +14,18 @@ def at(uri: str):
 
 @contextmanager
 def writing(uri: str):
-    """A stream to the file. It appears whole or not at all: a repeated task replaces it by the same."""
+    """A stream to the file. It is written under another name and appears whole or not at all: a repeated task replaces it by the same."""
     system, path = at(uri)
-    local = isinstance(system, fs.LocalFileSystem)
-    if local:
+    if isinstance(system, fs.LocalFileSystem):
         system.create_dir(path.rpartition("/")[0], recursive=True)
-    to = f"{path}.{uuid.uuid4().hex}.part" if local else path
-    with system.open_output_stream(to) as out:
-        yield out
-    if local:
-        system.move(to, path)
+    to = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(to) as out:
+            yield out
+    except BaseException:
+        system.delete_file(to)
+        raise
+    system.move(to, path)
 
 
 def opened(uri: str):

@@ -8,7 +8,7 @@ by digest, where Spark may split a skewed digest's pages.
 Reading: files are parsed record by record; records are joined into captures through their concurrent-to
 identifiers, and one nested row goes out for each capture.
 
-Results for odd input: null html is an empty payload; a null url is written as "urn:none" and read back as null; pages with a null id are
+Results for odd input: null html is an empty payload; a null or empty url is written as "urn:none" and read back as null, others without blanks at their ends; pages with a null id are
 responses, read back with a null id; rows that repeat an id and payload are responses both if theirs is the smallest id. An
 empty table gives no files. Other columns are ignored.
 """
@@ -20,6 +20,7 @@ import gzip
 import hashlib
 import io
 import uuid
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,20 +68,19 @@ def _write(folder: str):
 
         number, n = TaskContext.get().partitionId(), 0
         uri = f"{folder}/pages-{number:06d}.warc.gz"
-        ctx = out = None
-        for batch in batches:
-            if batch.num_rows and out is None:
-                ctx = writing(uri)
-                out = ctx.__enter__()
-                out.write(_record("warcinfo", str(uuid.uuid5(_SPACE, f"{number}")), [], b"format: WARC File Format 1.1\r\n", "application/warc-fields"))
-            get = lambda k: batch.column(k).to_pylist()  # noqa: B023, E731
-            for page, url, html, first in zip(get("page_id"), get("url"), get("html"), get("first")):
-                revisit = first if page is not None and first is not None and first != page else None
-                out.write(transaction(page, url, (html or "").encode(), revisit, f"{number}/{n}"))
-                n += 1
-        if out is not None:
-            ctx.__exit__(None, None, None)
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n])], ["uri", "n"])
+        todo = (b for b in batches if b.num_rows)
+        some = next(todo, None)
+        if some is None:
+            return
+        with writing(uri) as out:
+            out.write(_record("warcinfo", str(uuid.uuid5(_SPACE, f"{number}")), [], b"format: WARC File Format 1.1\r\n", "application/warc-fields"))
+            for batch in chain([some], todo):
+                columns = [batch.column(k).to_pylist() for k in ("page_id", "url", "html", "first")]
+                for page, url, html, first in zip(*columns):
+                    revisit = first if page is not None and first is not None and first != page else None
+                    out.write(transaction(page, url, (html or "").encode(), revisit, f"{number}/{n}"))
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n])], ["uri", "n"])
 
     return run
 
