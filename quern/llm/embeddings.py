@@ -1,10 +1,11 @@
 """Embedding near-dedup by int8 tile products with rigorous error bounds.
 
-Vectors with the same label and length are compared. Equal vectors are one row with a count
-(grouped by a 128-bit fingerprint, partial aggregation), so hot groups of copies shrink before anything is compared.
-The rest is sorted by label and a sign-pattern of fixed random projections and cut into tiles of
+Vectors with the same label and length are compared. Equal vectors of a label are one class with a count (grouped by 128 bits of
+BLAKE2b, a cryptographic hash, of label and components; partial aggregation), so hot groups of copies shrink before anything is compared.
+The classes are sorted by label and a sign-pattern of fixed random projections and cut into tiles of
 TILE vectors; a label's tiles meet in pairs, unless the balls around their centres are too far apart for any
-link (a pair of tiles is one row, so a hot label is spread over many tasks).
+link. Pairs are dealt by blocks of SIDE tiles: a task gets two blocks, so a tile travels once for each block that its
+own meets, and a hot label is spread over many tasks.
 
 In a tile product a unit vector x is s*q + e with int8 q; |e| is known. Then
 |x.y - s_x s_y q_x.q_y| <= |e_x| |s_y q_y| + |e_y|, where q_x.q_y is exact (integers in float32 below 2**24, else
@@ -19,19 +20,22 @@ id are vectors of their own (links between them count) in one component. Other c
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, numbers, ship
+from .common import materialise, named, ship
 from .components import components, hook
 
-TILE, SUB = 4096, 1024
+#: Vectors of a tile at 64 components (fewer if they are longer), rows of a step of its product, tiles in a block.
+TILE, SUB, SIDE = 4096, 1024, 4
 THRESHOLD = 0.93
 #: What rounding in double precision can add to a bound.
 _EPS = 1e-9
-_TILE = "tile long, label long, dim int, rep binary, mult binary, vec binary, centre array<double>, radius double"
+_TILE = "tile long, label long, dim int, class binary, rep binary, mult binary, vec binary, centre array<double>, radius double"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -43,17 +47,27 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _pattern(batches):
-    """Add the sign pattern of 16 fixed projections: near vectors mostly share long prefixes."""
+def _classes(batches):
+    """Rows of vec_id, label (text), vec (null where it links with nothing) -> with a class, a label hash and
+    the sign pattern of 16 fixed projections: near vectors mostly share long prefixes."""
     for batch in batches:
-        dims = numbers(batch.column("dim"))
-        sign = np.zeros(batch.num_rows, np.int64)
-        for d in np.unique(dims):
+        col = batch.column("vec")
+        dims = np.diff(col.offsets.to_numpy()).astype(np.int32) if len(col) else np.zeros(0, np.int32)
+        dims[col.is_null().to_numpy(zero_copy_only=False)] = 0
+        labels = batch.column("label").to_pylist()
+        sign, keys = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+        for d in np.unique(dims[dims > 0]):
             at = np.flatnonzero(dims == d)
-            x = _matrix(batch.column("vec").take(pa.array(at)), int(d))
+            x = _matrix(col.take(pa.array(at)), int(d))
             planes = np.random.default_rng(7).standard_normal((int(d), 16))
             sign[at] = ((x @ planes) > 0) @ (1 << np.arange(16))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sign)], [*batch.schema.names, "sign"])
+            for i, row in zip(at.tolist(), x):
+                keys[i] = blake2b(row.tobytes() + labels[i].encode(), digest_size=16).digest()
+        of = {k: int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "little", signed=True) for k in set(labels) if k is not None}
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("vec_id"), pa.array([of.get(k, 0) for k in labels], pa.int64()), pa.array(dims), col, pa.array(keys, pa.binary()), pa.array(sign)],
+            ["vec_id", "label", "dim", "vec", "class", "sign"],
+        )
 
 
 def _tiles(batches):
@@ -69,15 +83,16 @@ def _tiles(batches):
         edges = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (dim[1:] != dim[:-1]), [True]]))
         done = 0
         for lo, hi in zip(edges[:-1], edges[1:]):
-            while lo < hi and (hi - lo >= TILE or final or hi < len(label)):
-                k = min(TILE, hi - lo)
+            most = max(1, min(TILE, TILE * 64 // int(dim[lo])))
+            while lo < hi and (hi - lo >= most or final or hi < len(label)):
+                k = min(most, hi - lo)
                 part = t.slice(lo, k).combine_chunks()
                 x = _matrix(part["vec"].combine_chunks(), int(dim[lo]))
                 u = _unit(x)
                 c = u.mean(axis=0)
                 c = c / n if (n := np.sqrt(c @ c)) > 1e-6 else u[0]
                 r = np.arccos(np.clip((u @ c).min(), -1, 1)) + 1e-7
-                out.append([number, int(label[lo]), int(dim[lo]), part["rep"].to_numpy().tobytes(), part["mult"].to_numpy().tobytes(), x.tobytes(), c.tolist(), float(r)])
+                out.append([number, int(label[lo]), int(dim[lo]), b"".join(part["class"].to_pylist()), part["rep"].to_numpy().tobytes(), part["mult"].to_numpy().tobytes(), x.tobytes(), c.tolist(), float(r)])
                 number += 1
                 lo += k
             done = lo
@@ -99,8 +114,8 @@ def _tiles(batches):
 
 
 def _tile_batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["tile", "label", "dim", "rep", "mult", "vec", "centre", "radius"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["tile", "label", "dim", "class", "rep", "mult", "vec", "centre", "radius"])
 
 
 def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,66 +158,78 @@ def link_tiles(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, sam
     return cx, cy, root
 
 
+def _reach(threshold: float) -> float:
+    return float(np.arccos(threshold)) + 1e-6
+
+
 def _compare(threshold: float):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                side = lambda k: (np.frombuffer(row["vec" + k]).reshape(-1, row["dim"]), np.frombuffer(row["mult" + k], np.int64), np.frombuffer(row["rep" + k], np.int64))
-                (x, mx, rx), (y, my, ry), same = side("1"), side("2"), row["t1"] == row["t2"]
+    """The tiles of two blocks, or of one -> link counts by class, and links that span the components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, last = table["b1"][0].as_py(), table["b2"][0].as_py()
+        tiles = sorted(table.to_pylist(), key=lambda t: t["tile"])
+        out = []
+        for i, p in enumerate(tiles):
+            if p["tile"] // SIDE != first:
+                continue
+            x, mx, rx, kx = _side(p)
+            for q in tiles[i:]:
+                if q["tile"] // SIDE != last or (p["label"], p["dim"]) != (q["label"], q["dim"]):
+                    continue
+                apart = np.arccos(np.clip(np.dot(p["centre"], q["centre"]), -1, 1))
+                if apart > p["radius"] + q["radius"] + _reach(threshold):
+                    continue
+                same = p is q
+                y, my, ry, ky = _side(q)
                 cx, cy, root = link_tiles(x, y, mx, my, same, threshold)
-                ids, n = (rx, cx + cy) if same else (np.concatenate([rx, ry]), np.concatenate([cx, cy]))
-                hit = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(ids[root[hit]])], ["rep", "links", "root"])
+                ids, n, keys = (rx, cx + cy, kx) if same else (np.concatenate([rx, ry]), np.concatenate([cx, cy]), np.concatenate([kx, ky]))
+                hit = np.flatnonzero(n > 0)
+                out.append(pa.table({"class": pa.array([k.tobytes() for k in keys[hit]], pa.binary()), "rep": ids[hit], "links": n[hit], "root": ids[root[hit]]}))
+        none = pa.table({"class": pa.array([], pa.binary()), **{c: pa.array([], pa.int64()) for c in ("rep", "links", "root")}})
+        return pa.concat_tables([none, *out])
 
     return run
 
 
+def _side(t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(t["rep"]) // 8
+    return np.frombuffer(t["vec"]).reshape(n, -1), np.frombuffer(t["mult"], np.int64), np.frombuffer(t["rep"], np.int64), np.frombuffer(t["class"], np.uint8).reshape(n, 16)
+
+
 def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vectors -> vec_id, n_links, component_id, kept; one row for each input row."""
     ship(spark)
-    v = F.col(vector_col).cast("array<double>")
+    v = named(vector_col).cast("array<double>")
     bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | ~F.exists(v, lambda c: c != 0)
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.xxhash64(F.col(label_col).cast("string")).alias("label"),
-        F.col(vector_col).alias("vec"),
-        (~F.coalesce(bad, F.lit(True)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).alias("valid"),
-    ).withColumns({"f1": F.xxhash64(F.lit(1), "label", "vec"), "f2": F.xxhash64(F.lit(2), "vec", "label")})
-    valid = rows.where("valid")
-    distinct = valid.groupBy("f1", "f2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
-    distinct = materialise(spark, distinct, "distinct")
-    # the vector itself comes from the row whose id is the class's; repeated ids may hold several
-    with_vec = (
-        valid.join(distinct, ["f1", "f2"])
-        .where("vec_id = rep")
-        .dropDuplicates(["f1", "f2"])
-        .select("label", F.size("vec").alias("dim"), "rep", "mult", "vec", F.col("f1").alias("key"))
+        named(id_col).cast("long").alias("vec_id"),
+        named(label_col).cast("string").alias("label"),
+        (~F.coalesce(bad, F.lit(True)) & named(label_col).isNotNull() & named(id_col).isNotNull()).alias("valid"),
+        named(vector_col).alias("vec"),
+    ).select("vec_id", "label", F.when(F.col("valid"), F.col("vec")).alias("vec"))
+    kind = rows.schema["vec"].dataType.simpleString()
+    rows = rows.mapInArrow(_classes, f"vec_id long, label long, dim int, vec {kind}, class binary, sign long")
+    distinct = rows.where("class is not null").groupBy("class").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), *[F.any_value(c).alias(c) for c in ("label", "dim", "vec", "sign")]
     )
-    kind = dict(with_vec.dtypes)["vec"]
-    signed = materialise(spark, with_vec.mapInArrow(_pattern, f"label long, dim int, rep long, mult long, vec {kind}, key long, sign long"), "signed")
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), signed.count() // TILE + 1))
-    tiles = signed.repartitionByRange(n, "label", "dim", "sign", "key").sortWithinPartitions("label", "dim", "sign", "key").mapInArrow(_tiles, _TILE)
-    tiles = materialise(spark, tiles, "tiles")
+    distinct = materialise(spark, distinct, "classes")
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() // TILE + 1))
+    order = ["label", "dim", "sign", "class"]
+    tiles = materialise(spark, distinct.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_tiles, _TILE), "tiles")
     ball = tiles.select("tile", "label", "dim", "centre", "radius")
     other = ball.select(F.col("tile").alias("t2"), "label", "dim", F.col("centre").alias("c2"), F.col("radius").alias("r2"))
     cos = F.aggregate(F.zip_with("centre", "c2", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
-    near = apart <= F.col("radius") + F.col("r2") + float(np.arccos(threshold)) + 1e-6
-    pairs = ball.join(other, ["label", "dim"]).where(F.col("tile") <= F.col("t2")).where(near).select(F.col("tile").alias("t1"), "t2")
-    side = lambda k: tiles.select(F.col("tile").alias(f"t{k}"), F.col("rep").alias(f"rep{k}"), F.col("mult").alias(f"mult{k}"), F.col("vec").alias(f"vec{k}"), *(["dim"] if k == 1 else []))
-    work = pairs.join(side(1), "t1").join(side(2), "t2")
-    work = work.repartition(max(n, 6), "t1", "t2").mapInArrow(_compare(threshold), "rep long, links long, root long")
+    near = apart <= F.col("radius") + F.col("r2") + _reach(threshold) + 1e-6
+    pairs = ball.join(other, ["label", "dim"]).where(F.col("tile") <= F.col("t2")).where(near)
+    blocks = pairs.select(F.floor(F.col("tile") / SIDE).alias("b1"), F.floor(F.col("t2") / SIDE).alias("b2"), F.explode(F.array("tile", "t2")).alias("tile")).distinct()
+    work = blocks.join(tiles, "tile").groupBy("b1", "b2").applyInArrow(_compare(threshold), "class binary, rep long, links long, root long")
     work = materialise(spark, work, "linked")
     comp = components(spark, work.select("rep", "root"))
-    counted = work.groupBy("rep").agg(F.sum("links").alias("links"))
-    # one id may stand for several distinct vectors: its counts are kept by vector where that is so
-    classes = distinct.join(counted, "rep", "left").join(comp.toDF("rep", "c"), "rep", "left")
-    classes = classes.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("c", "rep").alias("c"))
-    out = rows.select("vec_id", "f1", "f2", "valid").join(classes, ["f1", "f2"], "left")
-    c = F.when(F.col("valid"), F.col("c")).otherwise(F.col("vec_id"))
-    return out.select(
-        "vec_id",
-        F.when(F.col("valid"), F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(c, F.col("vec_id")).alias("component_id"),
-        F.coalesce(c == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    counted = work.groupBy("class").agg(F.sum("links").alias("links"))
+    # components join ids, counts belong to classes: an id that stands for several vectors has several
+    classes = distinct.select("class", "rep", "mult").join(counted, "class", "left").join(comp.toDF("rep", "c"), "rep", "left")
+    classes = classes.select("class", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("c", "rep").alias("c"))
+    out = rows.select("vec_id", "class").join(classes, "class", "left")
+    c = F.coalesce("c", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(c == F.col("vec_id"), F.lit(True)).alias("kept"))
