@@ -6,9 +6,9 @@ reaches it. Round BINS + i sends every shingle to bin i, so no bin stays empty;
 shingles are done after one to three rounds. Bins of ROWS each form the bands; at Jaccard 0.75 a
 pair misses all 32 bands with probability (1 - 0.75**4)**32, about 5 in a million.
 
-Links: documents with equal shingle sets are one class (grouped by a 128-bit set fingerprint, with
+Links: documents with equal words in equal order are one class (grouped by 128 bits of BLAKE2b, a cryptographic hash, of their words, with
 partial aggregation), so a hot group of copies is one row afterwards. Classes that share a
-band's bucket are verified on their full texts: first each against the smallest id that it meets,
+band's bucket are verified on their full texts, where the shingles of a link are compared word by word: first each against the smallest id that it meets,
 then against each bucket's smallest id if they are not yet connected. What is still open in a bucket of at most SMALL
 classes is verified pair by pair. Larger open buckets are joined into clusters; a cluster's texts are dealt to blocks, and each
 pair of blocks is one tile, which counts all common shingles by matrix products and returns a spanning forest, never the
@@ -16,18 +16,20 @@ pairs. So a hot group of near copies is spread over tiles. A pair already connec
 returned.
 
 Results for odd input: null or blank text has no shingles and links with nothing (it is its own
-component); rows with a null id get a null component and are kept; repeated ids count as one document, whose rows share
+component); n_shingles counts distinct 64-bit hashes; rows with a null id get a null component and are kept; repeated ids count as one document, whose rows share
 their component; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, byte_column, materialise, mix, numbers, run_hash, ship, steps
+from .common import Texts, byte_column, materialise, mix, named, numbers, run_hash, ship, steps
 from .components import components, hook
 
 BINS, ROWS = 128, 4
@@ -96,37 +98,67 @@ def _sketch(batches):
         sizes = np.diff(at)
         full = sizes > 0
         b = bands(sketches(items, at))
-        sums = np.zeros((2, len(sizes)), np.uint64)
-        if len(items):
-            first = at[:-1][full]
-            sums[0, full] = np.add.reduceat(mix(items), first)
-            sums[1, full] = np.add.reduceat(mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
         where = np.where(full)[0]
         offs = np.concatenate([[0], np.cumsum(np.where(full, b.shape[1], 0))])
+        raw = data.tobytes().lower()
+        words = [blake2b(b" ".join(raw[i:j].split()), digest_size=16).digest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array(sizes),
-                pa.array(mix(sums[0]).view(np.int64)),
-                pa.array(mix(sums[1]).view(np.int64)),
+                pa.array(words, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(b[where].ravel().view(np.int64))),
             ],
-            ["doc_id", "n_shingles", "f1", "f2", "bands"],
+            ["doc_id", "n_shingles", "words", "bands"],
         )
 
 
+def exact_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's shingles, numbered so that equal numbers are equal words in all of the texts."""
+    number: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        w = text.lower().split()
+        rows.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w)))
+    sizes = np.array([len(r) for r in rows])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    runs = np.concatenate([*rows, np.zeros(0, np.int64)])
+    pair = lambda x, y: np.unique(x * (int(y.max(initial=0)) + 1) + y, return_inverse=True)[1]
+    word, done, short = runs, 1, {}
+    while done < width and len(word) >= width:
+        runs, done = pair(runs[: len(word) - done], word[done:]), done + 1
+    sets = []
+    for i, n in enumerate(sizes):
+        if n >= width:
+            sets.append(np.unique(runs[bounds[i] : bounds[i] + n - width + 1]))
+        else:  # the whole sequence, apart from all shingles
+            sets.append(np.array([-1 - short.setdefault(tuple(rows[i].tolist()), len(short))] if n else [], np.int64))
+    return sets
+
+
+def word_sets(text: bytes) -> set:
+    """The shingles of one text as tuples of words."""
+    w = text.lower().split()
+    return set(zip(*(w[k:] for k in range(SHINGLE)))) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+
+
 def _verify(batches):
-    """Rows a, b, ta, tb -> the pairs that are similar enough on their full sets."""
-    last: tuple[int, np.ndarray] | None = None
+    """Rows a, b, ta, tb -> the pairs that are similar enough on their full sets; those that hashes let pass are compared by words."""
+    last: list = [None, None, None]
     for batch in batches:
         a, b = numbers(batch.column("a")), numbers(batch.column("b"))
         (da, oa), (db, ob) = byte_column(batch.column("ta")), byte_column(batch.column("tb"))
         good = np.zeros(len(a), bool)
         for i in range(len(a)):
-            if last is None or last[0] != a[i]:
-                last = a[i], shingle_sets(da[oa[i] : oa[i + 1]], np.array([0, oa[i + 1] - oa[i]]))[0]
-            y = shingle_sets(db[ob[i] : ob[i + 1]], np.array([0, ob[i + 1] - ob[i]]))[0]
-            good[i] = similar(last[1], y)
+            left, right = da[oa[i] : oa[i + 1]], db[ob[i] : ob[i + 1]]
+            if last[0] != a[i]:
+                last = [a[i], shingle_sets(left, np.array([0, len(left)]))[0], None]
+            if similar(last[1], shingle_sets(right, np.array([0, len(right)]))[0]):
+                if last[2] is None:
+                    last[2] = word_sets(left.tobytes())
+                y = word_sets(right.tobytes())
+                both = len(last[2] & y)
+                good[i] = 100 * both >= PERCENT * (len(last[2]) + len(y) - both)
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
 
@@ -172,11 +204,11 @@ def _tile(table: pa.Table) -> pa.Table:
     """Texts of one or two blocks of a cluster -> links that span their components."""
     table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
     ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
-    sets = []
+    raw = []
     for col in table["text"].chunks:
         data, bounds = byte_column(col)
-        for i in range(len(bounds) - 1):
-            sets.append(shingle_sets(data[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))[0])
+        raw += [data[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
+    sets = exact_sets(raw)
     sizes = np.array([len(x) for x in sets])
     one = block[0] == block[-1]
     split = len(sets) if one else int(np.searchsorted(block, block[-1]))
@@ -194,17 +226,17 @@ def _tile(table: pa.Table) -> pa.Table:
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, n_shingles, component_id, kept; one row for each input row."""
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     scratch = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         scratch.append(materialise(spark, df, name))
         return scratch[-1]
 
-    sketched = keep(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketches")
+    sketched = keep(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, words binary, bands array<long>"), "sketches")
     sets = sketched.where("doc_id is not null and n_shingles > 0")
-    classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = keep(sets.select("doc_id", "f1", "f2", "n_shingles").distinct().join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "members")
+    classes = sets.groupBy("words").agg(F.min("doc_id").alias("rep"))
+    member = keep(sets.select("doc_id", "words").distinct().join(classes, "words").select("doc_id", "rep"), "members")
     reps = member.select("rep").distinct()
     # the representative's own row carries the bands; an id with two texts has both of them
     buckets = (
