@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, numbers, run_hash, ship
+from .common import mix, named, numbers, run_hash, ship
 
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 BLOOM = 1 << 23
@@ -303,7 +303,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     """doc_id, item_id, coverage (of the item's tokens, or of its words where more of them are copied verbatim), n_changed (slots with another value), doc_at
     (template token where the item begins): a row for each document and item that it contains."""
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows, _ITEM).distinct()
     # the filter: at most BLOOM distinct bits, 1 MiB when packed, whatever the benchmark's size
     on = items.select("window").mapInArrow(_bloom, "bit int").distinct().toArrow()["bit"].to_numpy()

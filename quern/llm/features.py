@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import LOWER, STEP_BYTES, Texts, mix, run_hash, steps
+from .common import LOWER, STEP_BYTES, Texts, mix, run_hash, span_hashes, steps
 
 #: log2 of the number of hashed features.
 BITS = 18
@@ -20,7 +21,7 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 def ngrams(data: np.ndarray, bounds: np.ndarray, kinds: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature slots of each text, with bounds. kinds: w words as they are, l words in
-    lower case without marks at their ends, b pairs of words, c runs of four bytes."""
+    lower case without marks at their ends, p the first four, six and eight bytes of longer ones of these, b pairs of words, c runs of four bytes."""
     t = Texts(data, bounds)
     n = len(t.counts)
     own: list[tuple[np.ndarray, np.ndarray]] = []
@@ -30,16 +31,27 @@ def ngrams(data: np.ndarray, bounds: np.ndarray, kinds: str) -> tuple[np.ndarray
     if "b" in kinds:
         pairs = np.concatenate([_slots(run_hash(h, 2)), np.zeros(min(1, len(h)), np.int32)])
         own.append((pairs, np.minimum(t.first, len(pairs))))
-    if "l" in kinds:
+    if set("lp") & set(kinds):
         low = Texts(_bare(data), bounds)
+    if "l" in kinds:
         own.append((_slots(mix(low.hashes() + np.uint64(3))), low.first))
+    if "p" in kinds:
+        for size in (4, 6, 8):
+            at = np.flatnonzero(low.ends - low.starts > size)
+            heads = span_hashes(low.data, low.starts[at], low.starts[at] + size)
+            own.append((_slots(mix(heads + np.uint64(7))), np.searchsorted(at, low.first)))
     if "c" in kinds:
         runs = _slots(run_hash(_BYTE[data], 4))
         own.append((np.concatenate([runs, np.zeros(min(3, len(data)), np.int32)]), bounds))
+    ends = [0] * len(own)
+    if "b" in kinds:
+        ends["wb".index("b") if "w" in kinds else 0] = 1
+    if "c" in kinds:
+        ends[-1] = 3
     seen = np.empty(DIM, np.int32)
     parts, sizes = [], np.zeros(n, np.int64)
     for i in range(n):
-        x = np.concatenate([f[b[i] : max(b[i], b[i + 1] - k)] for (f, b), k in zip(own, [{"w": 0, "b": 1, "l": 0, "c": 3}[c] for c in "wblc" if c in kinds])])
+        x = np.concatenate([f[b[i] : max(b[i], b[i + 1] - k)] for (f, b), k in zip(own, ends)])
         if len(x):
             order = np.arange(len(x), dtype=np.int32)
             seen[x] = order
@@ -66,15 +78,17 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def gather(spark: SparkSession, docs: DataFrame, chosen: DataFrame, kinds: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the chosen rows (doc_id, y; a bounded table) -> y, slots, bounds on the driver."""
+    """Features of the chosen rows (doc_id, y; a bounded table) -> y, slots, bounds on the driver: one text for each chosen
+    row, that of the smallest hash where an id is repeated, with at most DIM slots."""
 
     def run(batches):
         for batch, data, bounds in steps(batches, "text"):
             x, b = ngrams(data, bounds, kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(x))], ["doc_id", "y", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<int>")
-    table = rows.toArrow().sort_by([("doc_id", "ascending")])
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<int>")
+    table = rows.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     x = table["x"].combine_chunks()
     if isinstance(x, pa.ChunkedArray):
         x = x.chunk(0) if x.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -115,5 +129,5 @@ def scored(docs: DataFrame, score, extra: list[str]) -> DataFrame:
             rest = [batch.column(c) for c in ["doc_id", *extra]]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(score(data, bounds))], ["doc_id", *extra, "score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *extra]) + ", score double")
+    schema = StructType([docs.schema[c] for c in ["doc_id", *extra]]).add("score", "double")
+    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)

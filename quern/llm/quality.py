@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import row_of, ship, whole_row
 from .features import DIM, fold, gather, ngrams, platt, scored, sums
 
 #: Training rows of each class at most.
@@ -136,5 +136,5 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int
     ship(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(spark, plain, labels, folds, held_out)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
-    return scored(rows, model, ["row"]).where(F.col("score") >= cut).select("row.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_of(docs).alias("row"))
+    return whole_row(scored(rows, model, ["row"]).where(F.col("score") >= cut))

@@ -7,8 +7,8 @@ meet in one bucket at about three words of traffic a word. A bucket cuts its str
 again, sorts them and marks all but the earliest copy of each.
 
 A window with an earlier copy in the same step of a map task is decided there and doesn't travel, so a
-bucket gets a hot passage once from each step and not once from each document. Words are told apart by
-64-bit hashes, windows by 20 of them.
+bucket gets a hot passage once from each step and not once from each document. Windows are sorted by 64-bit hashes, and the
+words of windows with equal hashes are compared: a window whose words differ gets another hash and is sorted again.
 
 Results for odd input: null text has no words; rows with a null id are never compared and keep all
 words; rows that repeat both id and text are one document (each row gets its result); rows that repeat an id
@@ -23,8 +23,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Texts, mix, numbers, parts, run_hash, ship, sliding_min, steps, text_bytes
+from .common import Texts, mix, named, numbers, parts, row_of, run_hash, ship, sliding_min, steps, text_bytes
 
 WINDOW, MER = 20, 3
 #: Bytes of text in one step of a map task, and of packed stretches aimed at in one bucket.
@@ -32,16 +33,44 @@ STEP, BUCKET = 8 << 20, 16 << 20
 _HEAD = np.dtype([("id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
-def _repeats(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Positions whose hash stands earlier under another owner-position; owner tells repeated rows apart."""
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    new = np.empty(len(h), bool)
-    new[:1], new[1:] = True, h[1:] != h[:-1]
-    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    out = np.zeros(len(h), bool)
-    out[order] = owner[order] != owner[first]
-    return out
+def _repeats(hashes: np.ndarray, owner: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which windows stand earlier under another owner; owner tells repeated rows apart. Window i is raw[starts[i]:ends[i]]."""
+    hashes = hashes.copy()
+    while True:
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order]
+        new = np.empty(len(h), bool)
+        new[:1], new[1:] = True, h[1:] != h[:-1]
+        first = np.empty(len(h), np.int64)
+        first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        out = owner != owner[first]
+        other = _other_words(np.flatnonzero(out), first, raw, starts, ends)
+        if not len(other):
+            return out
+        hashes[other] = mix(hashes[other] ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _other_words(at: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The windows among `at` whose words aren't those of their first one. Stretches that run in step are compared whole."""
+    if not len(at):
+        return at
+    f = first[at]
+    step = lambda v: v[1:] != v[:-1] + 1
+    # the next window starts within this one on both sides, so that a stretch stays in one text
+    apart = lambda v: (starts[v[1:]] <= starts[v[:-1]]) | (starts[v[1:]] >= ends[v[:-1]])
+    edge = np.flatnonzero(np.concatenate([[True], step(at) | step(f) | apart(at) | apart(f), [True]]))
+    a, z = starts[at[edge[:-1]]].tolist(), ends[at[edge[1:] - 1]].tolist()
+    b, y = starts[f[edge[:-1]]].tolist(), ends[f[edge[1:] - 1]].tolist()
+    bad = []
+    for k, (i, j, m, n) in enumerate(zip(a, z, b, y)):
+        if not _same_words(raw[i:j], raw[m:n]):
+            own = at[edge[k] : edge[k + 1]]
+            bad += [w for w in own.tolist() if not _same_words(raw[starts[w] : ends[w]], raw[starts[first[w]] : ends[first[w]]])]
+    return np.array(bad, np.int64)
+
+
+def _same_words(x: bytes, y: bytes) -> bool:
+    return x == y or x.split() == y.split()
 
 
 def _runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +106,9 @@ def _pack(buckets: int):
             owner = np.arange(len(doc))
             if key.any():  # repeated rows own the same words
                 owner = owner - (t.first[:-1] - t.first[np.arange(len(ids)) - key])[doc]
+            raw = data.tobytes()
             gone = np.zeros(len(win), bool)
-            gone[at] = _repeats(win[at], owner[at])
+            gone[at] = _repeats(win[at], owner[at], raw, t.starts[at], t.ends[at + WINDOW - 1])
             s, e = _runs(gone, doc[: len(win)])
             d = doc[s]
             yield _rows(np.full(len(s), -1), ids[d], th[d], s - t.first[d], e - s)
@@ -95,7 +125,6 @@ def _pack(buckets: int):
             head = np.empty(len(s), _HEAD)
             head["id"], head["th"], head["start"], head["n"] = ids[d], th[d], s - t.first[d], e - s
             a, z = t.starts[s].tolist(), t.ends[e + WINDOW - 2].tolist()
-            raw = data.tobytes()
             edges = np.flatnonzero(np.concatenate([[True], np.diff(where[by]) != 0, [True]])) if len(by) else []
             blobs, keys = [], []
             for i, j in zip(edges[:-1], edges[1:]):
@@ -129,8 +158,10 @@ def _count(table: pa.Table) -> pa.Table:
             texts.append(raw[k:])
     if heads:
         head = np.concatenate(heads)
-        data = np.frombuffer(b"\n".join(texts), np.uint8)
-        h = Texts(data, np.array([0, len(data)])).hashes()
+        raw = b"\n".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        t = Texts(data, np.array([0, len(data)]))
+        h = t.hashes()
         n = head["n"].astype(np.int64)
         at = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])
         if at[-1] != len(h):
@@ -139,12 +170,13 @@ def _count(table: pa.Table) -> pa.Table:
         head, n, first = head[order], n[order], at[:-1][order]
         item = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
-        win = run_hash(h, WINDOW)[first[item] + step]
+        at = first[item] + step
+        win = run_hash(h, WINDOW)[at]
         start = head["start"][item] + step
         # one owner for each id, text and start: repeated rows are no earlier copy of themselves
         new = np.concatenate([[True], (np.diff(head["id"]) != 0) | (np.diff(head["th"]) != 0)])
         owner = (np.cumsum(new)[item] << 32) + start
-        gone = _repeats(win, owner)
+        gone = _repeats(win, owner, raw, t.starts[at], t.ends[at + WINDOW - 1])
         s, e = _runs(gone, item)
         k = item[s]
         own.append(pa.table({"id": head["id"][k], "th": head["th"][k], "start": start[s].astype(np.int64), "n": (e - s).astype(np.int64)}))
@@ -189,22 +221,23 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 def replace_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with all its columns, the text being the kept one and size_col, if there, its length."""
-    rest = F.struct(*[c for c in docs.columns if c not in (text_col, size_col)])
-    rows = _joined(spark, docs, id_col, text_col, [rest.alias("row")]).select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"), "row")
-    kind = dict(rows.dtypes)["row"]
-    out = rows.mapInArrow(_cut(["row"]), f"doc_id long, kept_text string, n_words long, n_removed long, row {kind}")
-    cols = {text_col: F.col("kept_text"), size_col: F.length("kept_text").cast(dict(docs.dtypes).get(size_col, "long"))}
-    return out.select(*[cols.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    rows = _joined(spark, docs, id_col, text_col, [row_of(docs).alias("row")]).select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"), "row")
+    schema = StructType.fromDDL("doc_id long, kept_text string, n_words long, n_removed long").add("row", rows.schema["row"].dataType)
+    out = rows.mapInArrow(_cut(["row"]), schema)
+    kept = {text_col: F.col("kept_text")}
+    if size_col in docs.columns:
+        kept[size_col] = F.length("kept_text").cast(docs.schema[size_col].dataType)
+    return out.select(*[kept.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _joined(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, more: list) -> DataFrame:
     ship(spark)
     total = text_bytes(docs, text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *more)
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("th"), *more)
     buckets = parts(spark, 3 * total, BUCKET)
     packed = docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_pack(buckets), "bucket long, id long, th long, start long, n long, pack binary")
-    # runs that a map task decided ride along, spread over the buckets
-    spread = F.when(F.col("bucket") < 0, F.pmod(F.col("th"), F.lit(buckets))).otherwise(F.col("bucket"))
+    # runs that a map task decided ride along, spread over the buckets by their place, as copies share their text's hash
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("id", "start"), F.lit(buckets))).otherwise(F.col("bucket"))
     runs = packed.groupBy(spread.alias("at")).applyInArrow(_count, "id long, th long, start long, n long")
     runs = runs.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return docs.join(runs, (docs.doc_id == runs.id) & (docs.th == runs.th), "left")
