@@ -1,12 +1,13 @@
 """Toxicity: non-negative positive-unlabelled learning.
 
-A linear numpy classifier over word indicators (lower case, marks stripped, hashed to 2**18 slots) learns from confirmed
+A linear numpy classifier over indicators of words and their beginnings (lower case, marks stripped, hashed to 2**18 slots) learns from confirmed
 toxic texts and from unlabelled ones. With class prior p and logistic loss l the risk is
 p*E_P[l(+)] + max(0, E_U[l(-)] - p*E_P[l(-)]); when the second part falls below zero, the step
 goes the other way on it, so that the model doesn't fit the unlabelled toxic texts as clean.
-The prior is the share of toxic ones among all usable labels. Texts come from at most POSITIVES confirmed
-and UNLABELLED other rows, those with the smallest hash of their id. A logistic fit on a part of the usable labelled
-rows that training doesn't see maps margins to 0..1.
+The prior is the share of toxic ones among all usable labels; nothing else is learnt from labels of clean texts. Texts come from at most POSITIVES
+confirmed and UNLABELLED other rows, those with the smallest hash of their id. Margins become 0..1 by the growing function that minimises
+the same risk (with squared loss) on margins of rows that the margin's model hasn't seen: each of FOLDS parts is scored by a model of the others. UNLABELLED bounds rows without regard to labels; words that are toxic but in few of these
+texts and few confirmed ones stay unknown.
 
 Results for odd input: null and empty texts score by the bias alone; null or contradicting labels are
 not learnt from; without confirmed toxic rows every score is 0. Rows with a null id are scored like others. Other columns are ignored.
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
-from .features import DIM, fold, gather, ngrams, platt, scored, sums
+from .features import DIM, fold, gather, ngrams, scored, sums
 from .quality import Constant, clean_labels
 
-POSITIVES, UNLABELLED, CHECKED = 3000, 6000, 3000
-KINDS = "l"
+POSITIVES, UNLABELLED, FOLDS = 4000, 8000, 3
+KINDS = "lp"
 CUT = 0.7
 #: A slot counts if so many training texts have it and its shares differ by so many standard errors.
 LEAST, CLEAR = 3, 3.5
@@ -46,11 +47,11 @@ def fit_nnpu(y: np.ndarray, slots: np.ndarray, bounds: np.ndarray, prior: float,
     # how far above its share a slot is among the confirmed: a start that needs few rounds
     p = (np.bincount(col[pos[row]], minlength=d) + 0.5) / (np_ + 1)
     u = (np.bincount(col[~pos[row]], minlength=d) + 0.5) / (nu + 1)
-    scale = np.clip(np.log(p / u), -4, 4)
+    lift = np.clip(np.log(p / u), -4, 4)
     w, bias = np.zeros(d), float(np.log(prior / (1 - prior)))
     mw, vw, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
     for k in range(1, rounds + 1):
-        z = sums(w * scale, col, b) + bias
+        z = sums(w * lift, col, b) + bias
         sig = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         soft = np.logaddexp(0, z)
         rest = soft[~pos].mean() - prior * soft[pos].mean()
@@ -61,7 +62,7 @@ def fit_nnpu(y: np.ndarray, slots: np.ndarray, bounds: np.ndarray, prior: float,
         else:
             g[pos] = prior * sig[pos] / np_
             g[~pos] = -sig[~pos] / nu
-        gw = np.bincount(col, weights=g[row], minlength=d) * scale + decay * w * prior
+        gw = np.bincount(col, weights=g[row], minlength=d) * lift + decay * w * prior
         gb = g.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -69,20 +70,61 @@ def fit_nnpu(y: np.ndarray, slots: np.ndarray, bounds: np.ndarray, prior: float,
         w -= rate * fix * mw / (np.sqrt(vw) + 1e-6)
         bias -= rate * fix * mb / (np.sqrt(vb) + 1e-6)
     full = np.zeros(DIM)
-    full[used] = w * scale
+    full[used] = w * lift
     return full, bias
 
 
 class Model:
-    def __init__(self, w, bias, a, b):
-        self.w, self.bias, self.a, self.b = w.astype(np.float32), bias, a, b
+    def __init__(self, w, bias):
+        self.w, self.bias, self.at, self.value = w.astype(np.float32), bias, None, None
 
     def margins(self, slots, bounds):
         return sums(self.w.astype(np.float64), slots, bounds) + self.bias
 
     def __call__(self, data, bounds):
-        m = self.margins(*ngrams(data, bounds, KINDS))
-        return 1 / (1 + np.exp(-np.clip(self.a * m + self.b, -500, 500)))
+        return self.score(self.margins(*ngrams(data, bounds, KINDS)))
+
+    def score(self, m):
+        z = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
+        if self.at is None:
+            return z
+        return 0.999 * np.interp(m, self.at, self.value) + 0.001 * z  # the second part orders what shares a pool
+
+
+def posterior(margin: np.ndarray, pos: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the growing function g of the margin that minimises the risk with squared loss, E_U[g**2] - 2*p*E_P[g]: in each
+    pool of neighbouring margins g is p times the confirmed ones' share of the pool by the unlabelled ones'."""
+    order = np.lexsort((~pos, margin))
+    m, c = margin[order], pos[order]
+    wp, wu = c * prior / max(c.sum(), 1), ~c / max((~c).sum(), 1)
+    pools: list[list[float]] = []  # share of confirmed, of unlabelled, sum of margins, rows
+    for x, p, u in zip(m.tolist(), wp.tolist(), wu.tolist()):
+        pools.append([p, u, x, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return np.array([q[2] / q[3] for q in pools]), np.array([min(q[0] / q[1], 1.0) if q[1] else 1.0 for q in pools])
+
+
+def fit(y: np.ndarray, part: np.ndarray, slots: np.ndarray, bounds: np.ndarray, prior: float):
+    """A model with its scale. y: 1 confirmed, 0 unlabelled; part: of FOLDS, the same for all rows of an id."""
+
+    def rows(mask):
+        keep = np.repeat(mask, np.diff(bounds))
+        return y[mask], slots[keep], np.concatenate([[0], np.cumsum(np.diff(bounds)[mask])])
+
+    if not (y == 1).any() or not (y == 0).any():
+        return Constant(prior)
+    margin, seen = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        own = part == k
+        if own.any() and set(y[~own].tolist()) == {0, 1}:
+            margin[own] = Model(*fit_nnpu(*rows(~own), prior)).margins(*rows(own)[1:])
+            seen |= own
+    model = Model(*fit_nnpu(y, slots, bounds, prior))
+    if (y[seen] == 1).sum() >= 5 and (y[seen] == 0).sum() >= 5:
+        model.at, model.value = posterior(margin[seen], y[seen] == 1, prior)
+    return model
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, column: str = "toxic"):
@@ -92,27 +134,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
         return Constant(0.0)
     prior = min(max(share[1] / sum(share.values()), 0.001), 0.5)
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    # a quarter of the usable labels is kept for the logistic fit
-    part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(4)) == 0
-    confirmed = first(usable.where(~part & (F.col("y") == 1)), POSITIVES).select("doc_id", F.lit(1).alias("y"))
-    checked = first(usable.where(part), CHECKED).select("doc_id", (F.col("y") + 2).alias("y"))
+    part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(FOLDS)).cast("int")
+    confirmed = first(usable.where("y = 1"), POSITIVES).select("doc_id", (2 * part + 1).alias("y"))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (F.coalesce(fold("doc_id", folds), F.lit(-1)) != held_out))
-    others = first(ids, UNLABELLED).select("doc_id", F.lit(0).alias("y"))
-    y, slots, bounds = gather(spark, docs, confirmed.unionByName(checked).unionByName(others), KINDS)
-
-    def rows(mask):
-        keep = np.repeat(mask, np.diff(bounds))
-        return y[mask], slots[keep], np.concatenate([[0], np.cumsum(np.diff(bounds)[mask])])
-
-    ty, ts, tb = rows(y < 2)
-    if not (ty == 1).any() or not (ty == 0).any():
-        return Constant(prior)
-    w, bias = fit_nnpu(ty, ts, tb, prior)
-    model = Model(w, bias, 1.0, 0.0)
-    cy, cs, cb = rows(y >= 2)
-    if (cy == 3).sum() >= 5 and (cy == 2).sum() >= 5:
-        model.a, model.b = platt(model.margins(cs, cb), cy - 2, np.ones(len(cy)))
-    return model
+    others = first(ids, UNLABELLED).distinct().select("doc_id", (2 * part).alias("y"))
+    y, slots, bounds = gather(spark, docs, confirmed.unionByName(others), KINDS)
+    return fit(y & 1, y >> 1, slots, bounds, prior)
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, cut: float = CUT) -> DataFrame:
