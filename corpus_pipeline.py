@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, minhash, packing, quality, substring
-from quern.llm.common import materialise, read
+from quern.llm.common import materialise, read, row_of, whole_row
 from quern.llm.tokenizing import vocabulary
 
 
-def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) among ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), how)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't among ids. The rows travel as one struct, so that no name can clash."""
+    rows = docs.select(F.col("doc_id").alias("key"), row_of(docs).alias("row"))
+    return whole_row(rows.join(ids.select(F.col("doc_id").alias("key")), "key", "left_anti"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows with a null id stay."""
     copies = minhash.near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
-    return _keep(docs, copies, "left_anti")
+    return _without(docs, copies)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     bad = decontaminate.contaminated(spark, docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _keep(docs, bad, "left_anti")
+    return _without(docs, bad)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
