@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,10 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def json_lines_checked(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
-    """line, record, valid: null record and not valid where the line doesn't parse; blank lines go."""
+def json_lines_checked(lines: DataFrame, schema: str, line: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """line, what is to be kept (say, a line's number), record, valid: not valid where the line doesn't parse; blank lines go."""
     record = F.from_json(F.col(line), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return lines.where(F.trim(line) != "").select(F.col(line), record.alias("record")).withColumn("valid", F.col("record").isNotNull() & F.col("record._bad").isNull())
+    return lines.where(F.trim(line) != "").select(F.col(line), *keep, record.alias("record")).withColumn("valid", F.col("record").isNotNull() & F.col("record._bad").isNull())
 
 
 def json_items(c: Column) -> Column:
