@@ -1,34 +1,44 @@
-"""Functions that Spark lacks, as Arrow-batched pandas UDFs."""
+"""Functions that Spark lacks, on whole Arrow arrays; and signed cursors as Columns."""
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import hmac
-import json
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode composition."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.arrow_udf(T.StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Unicode composition, of the texts that need it: those with a mark or a sign above Latin 1."""
+    some = pc.fill_null(pc.match_substring_regex(texts, r"[^\x00-\x{00FF}]"), False)
+    done = pa.array([unicodedata.normalize("NFC", t) for t in texts.filter(some).to_pylist()], pa.string())
+    return pc.replace_with_mask(texts, some, done)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def floats_from_bytes(blobs: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def floats_from_bytes(blobs: pa.Array) -> pa.Array:
     """Little-endian 32-bit floats; null for a length that isn't a multiple of four."""
-    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+    ok = pc.equal(pc.bit_wise_and(pc.binary_length(blobs), 3), 0)
+    blobs = pc.if_else(ok, blobs, pa.scalar(None, blobs.type)).cast(pa.large_binary())
+    _, offsets, data = blobs.buffers()
+    at = np.frombuffer(offsets, np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<f4") if data is not None and len(at) else np.empty(0, "<f4")
+    return pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pa.array(values, pa.float32()), mask=blobs.is_null())
 
 
-@F.pandas_udf(T.BinaryType())
-def floats_to_bytes(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+@F.arrow_udf(T.BinaryType())
+def floats_to_bytes(vectors: pa.Array) -> pa.Array:
+    at = vectors.offsets.to_numpy()
+    values = vectors.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype("<f4") if len(vectors) else np.empty(0, "<f4")
+    offsets = ((at - at[0]) * 4).astype(np.int32) if len(vectors) else np.zeros(1, np.int32)
+    own = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+    return pc.if_else(vectors.is_valid(), own, pa.scalar(None, pa.binary()))
 
 
 # Thai number words with what they count; "ยี่" stands for two before ten, "เอ็ด" for a last one.
@@ -58,24 +68,31 @@ def thai_number(words: str | None) -> int | None:
     return total + part + (digit or 0) if any_ else None
 
 
-@F.pandas_udf(T.LongType())
-def thai_number_words(texts: pd.Series) -> pd.Series:
-    return texts.map(thai_number).astype("Int64")
+@F.arrow_udf(T.LongType())
+def thai_number_words(texts: pa.Array) -> pa.Array:
+    """thai_number for each distinct text of a batch."""
+    coded = texts.dictionary_encode()
+    return pa.array([thai_number(t) for t in coded.dictionary.to_pylist()], pa.int64()).take(coded.indices)
 
 
-def sign(state: dict, secret: bytes) -> str:
-    """An opaque cursor: base64url JSON and its HMAC-SHA256."""
-    body = base64.urlsafe_b64encode(json.dumps(state, sort_keys=True).encode()).rstrip(b"=").decode()
-    return f"{body}.{hmac.new(secret, body.encode(), hashlib.sha256).hexdigest()}"
+def hmac_sha256(message: Column, secret: bytes) -> Column:
+    """HMAC-SHA256 in hexadecimal. Inner and outer key are constants of the plan."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = bytes(x ^ 0x36 for x in key), bytes(x ^ 0x5C for x in key)
+    first = F.sha2(F.concat(F.lit(bytearray(inner)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(first)), 256)
 
 
-def verify(token: str, secret: bytes, target: str, now_ms: int) -> dict | None:
-    """The cursor's state, None if it was altered, is for another target or has expired."""
-    body, _, mac = (token or "").partition(".")
-    if not hmac.compare_digest(hmac.new(secret, body.encode(), hashlib.sha256).hexdigest(), mac):
-        return None
-    try:
-        state = json.loads(base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)))
-    except ValueError:
-        return None
-    return state if state.get("target") == target and state.get("expires_ms", 0) > now_ms else None
+def sign(state: Column, secret: bytes) -> Column:
+    """An opaque cursor: the struct as base64url JSON and its HMAC-SHA256."""
+    body = F.rtrim(F.translate(F.base64(F.to_json(state).cast("binary")), "+/", "-_"), F.lit("="))
+    return F.concat(body, F.lit("."), hmac_sha256(body, secret))
+
+
+def verify(token: Column, secret: bytes, schema: str, target: Column, now_ms: Column, version: int = 1) -> Column:
+    """The cursor's state (fields target, expires_ms and v among others), null if it was altered, is of another version or target, or has expired."""
+    body, mac = F.substring_index(token, ".", 1), F.substring_index(token, ".", -1)
+    padded = F.concat(F.translate(body, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4)).cast("int")))
+    state = F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), schema)
+    good = (mac == hmac_sha256(body, secret)) & (state["v"] == version) & (state["target"] == target) & (state["expires_ms"] > now_ms)
+    return F.when(good, state)

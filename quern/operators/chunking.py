@@ -39,26 +39,28 @@ def sentences(c: Column) -> Column:
     return pieces(c, r"(?<=[.!?;:])\s+|\n+")
 
 
-def pack(items: Column, most: int, glue: str = " ") -> Column:
-    """Greedy: an item joins the last pack if that stays within `most` signs, else begins one."""
+def _fold(items: Column, joins) -> Column:
+    """Items joined to the one before them where joins(last, item) holds. The last one is carried apart, so that a finished one is
+    appended once and only the last one is rewritten."""
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + F.length(x) + len(glue) <= most)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(glue), x)))).otherwise(F.concat(acc, F.array(x)))
+        last = acc["last"]
+        own = last.isNotNull() & joins(last, x)
+        done = F.when(own | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(own, F.concat(last, F.lit(" "), x)).otherwise(x).alias("last"))
 
-    return F.aggregate(items, F.array().cast("array<string>"), step)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+    return F.aggregate(items, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
 
 
-def merge_small(items: Column, least: int, most: int) -> Column:
-    """An item shorter than `least` joins the one before it if both stay within `most`."""
+def pack(items: Column, most: int) -> Column:
+    """Greedy: an item joins the last pack if that stays within `most` signs, else begins one."""
+    return _fold(items, lambda last, x: F.length(last) + F.length(x) + 1 <= most)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & ((F.length(x) < least) | (F.length(last) < least)) & (F.length(last) + F.length(x) < most)
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), x)))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(items, F.array().cast("array<string>"), step)
+def merge_small(items: Column, least: int, most: int) -> Column:
+    """An item joins the one before it if one of both is shorter than `least` and both stay within `most`."""
+    return _fold(items, lambda last, x: ((F.length(x) < least) | (F.length(last) < least)) & (F.length(last) + F.length(x) < most))
 
 
 def distinct_lines(items: Column, least: int = 14, share: float = 0.8) -> Column:

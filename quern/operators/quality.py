@@ -25,22 +25,27 @@ def is_garbage(c: Column) -> Column:
     )
 
 
-def notes(c: Column) -> Column:
-    """What is wrong with an extracted text."""
-    words = F.size(tokens(c))
+def measures(c: Column) -> list[Column]:
+    """The counts that notes need, to be taken once in a projection below."""
+    words = tokens(c)
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    return [
+        F.length(c).alias("n"), (F.length(F.trim(c)) == 0).alias("blank"), F.size(words).alias("n_words"), F.size(F.array_distinct(words)).alias("n_distinct"),
+        count(r"[^\p{L}\p{M}\p{N}\s]").alias("signs"), count(r"\p{N}").alias("digits"), count("�").alias("glyphs"), count(r"\p{Lu}").alias("capitals"),
+    ]
+
+
+def notes() -> Column:
+    """What is wrong with an extracted text, from its measures."""
+    n, words = F.col("n"), F.col("n_words")
+    over = lambda name, limit: F.when(n > 0, F.col(name) / n > limit).otherwise(F.lit(False))
     return flags(
-        ("empty", F.length(F.trim(c)) == 0),
-        ("short", F.length(c) < 80),
-        ("few_words", words < 12),
-        ("signs", share(c, r"[^\p{L}\p{M}\p{N}\s]") > 0.15),
-        ("digits", share(c, r"\p{N}") > 0.3),
-        ("glyphs", F.regexp_count(c, F.lit("�")) > 0),
-        ("repeats", F.when(words > 0, F.size(F.array_distinct(tokens(c))) / words < 0.3).otherwise(F.lit(False))),
-        ("shouting", share(c, r"\p{Lu}") > 0.4),
-    )
+        ("empty", F.col("blank")), ("short", n < 80), ("few_words", words < 12), ("signs", over("signs", 0.15)), ("digits", over("digits", 0.3)), ("glyphs", F.col("glyphs") > 0),
+        ("repeats", F.when(words > 0, F.col("n_distinct") / words < 0.3).otherwise(F.lit(False))), ("shouting", over("capitals", 0.4)),
+    )
 
 
-#: What each note costs.
+#: What each note costs.
 COST = {"empty": 100, "short": 20, "few_words": 15, "signs": 25, "digits": 15, "glyphs": 20, "repeats": 20, "shouting": 10}
 
 

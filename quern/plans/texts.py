@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import rules as W
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import quality as G
+from ..operators import relational as R
 from ..sources import readers as S
+from ..sources.scratch import scratch_path
 from .base import query
 
 _TOK = r"regexp_extract_all(lower(text), '([\p{L}\p{M}\p{N}]+)', 1)"
@@ -124,7 +127,7 @@ s as (select doc_id, notes, greatest(0, 100 - coalesce(cost, 0))::bigint as scor
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    d = S.table(spark, sf, "documents").select("doc_id", G.notes(F.col("text")).alias("notes"))
+    d = S.table(spark, sf, "documents").select("doc_id", *G.measures(F.col("text"))).select("doc_id", G.notes().alias("notes"))
     return d.withColumn("score", G.score(F.col("notes")).cast("long"))
 
 
@@ -194,3 +197,65 @@ def web_score(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda c, w: F.when(c, w).otherwise(0)
     dom, low = S.domain(F.col("url")), F.lower("html")
     return S.table(spark, sf, "pages").select("page_id", dom.alias("domain"), (one(F.contains(dom, F.lit(".net")), 20) + one(F.contains(low, F.lit("that")), 8) + one(F.contains(low, F.lit("<title>")), 5)).alias("score"))
+
+
+@query("select doc_id, nfc_normalize(text) as composed from documents")
+def composed_text(spark: SparkSession, sf: str) -> DataFrame:
+    return S.table(spark, sf, "documents").select("doc_id", A.nfc("text").alias("composed"))
+
+
+@query("select vec_id, (4 * len(embedding))::bigint as n_bytes, embedding[1] as first, embedding[-1] as last from embeddings")
+def vector_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors to little-endian bytes and back."""
+    v = S.table(spark, sf, "embeddings").select("vec_id", A.floats_to_bytes("embedding").alias("b"))
+    back = v.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), A.floats_from_bytes("b").alias("v"))
+    return back.select("vec_id", "n_bytes", F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+
+
+_BODY = """rtrim(translate(to_base64(encode('{"v":1,"target":"all","expires_ms":' || (conv_id * 1000 + turn) || ',"at":' || turn || '}')), '+/', '-_'), '=')"""
+
+
+@query(
+    f"""with b as (select conv_id, turn, {_BODY} as body from conversations)
+select conv_id, turn, body || '.' || sha256(unhex('{bytes(x ^ 0x5C for x in b"key".ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(x ^ 0x36 for x in b"key".ljust(64, bytes(1))).hex()}') || encode(body)))) as token, conv_id > 10 as valid from b"""
+)
+def signed_cursors(spark: SparkSession, sf: str) -> DataFrame:
+    """Signed cursors of each turn, and which of them are still valid at a time."""
+    c = S.table(spark, sf, "conversations")
+    state = F.struct(F.lit(1).alias("v"), F.lit("all").alias("target"), (F.col("conv_id") * 1000 + F.col("turn")).alias("expires_ms"), F.col("turn").alias("at"))
+    t = c.select("conv_id", "turn", A.sign(state, b"key").alias("token"))
+    seen = A.verify(F.col("token"), b"key", "v int, target string, expires_ms long, at long", F.lit("all"), F.lit(10_999))
+    return t.select("conv_id", "turn", "token", seen.isNotNull().alias("valid"))
+
+
+@query("select event_id, json_extract(props, '$.k')::bigint as k from events")
+def polymorphic_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of JSON documents that are arrays, objects with items, or single objects."""
+    items = S.table(spark, sf, "events").select("event_id", F.explode(S.json_items(F.col("props"))).alias("v"))
+    return items.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+
+
+@query("select doc_id, null::varchar as keyword, text as chunk_text, null::int as quality_score, lang from documents")
+def adapted_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns that a search wants, null where a table lacks them."""
+    wanted = {"doc_id": "bigint", "keyword": "string", "chunk_text": "string", "quality_score": "int", "lang": "string"}
+    return R.adapt(S.table(spark, sf, "documents").withColumnRenamed("text", "chunk_text"), wanted)
+
+
+@query("select user_id, event_type as query, count(*) as n from events where event_type <> 'view' group by all")
+def query_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON-lines log appended in the shared folder, rid of one query's records and read back tolerantly."""
+    path = scratch_path(spark, "query-log")
+    S.append_json(S.table(spark, sf, "events").select("user_id", F.col("event_type").alias("query")), path)
+    rest = S.without_query(spark.read.text(path), "view")
+    kept = S.json_lines_checked(rest, "user_id bigint, query string").where("valid").select("record.*")
+    return kept.groupBy("user_id", "query").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select user_id, n, n > 200 as is_blocked from (select user_id, count(*) as n from events group by 1)")
+def usage_export(spark: SparkSession, sf: str) -> DataFrame:
+    """A CSV export with all fields quoted and a derived flag, read back."""
+    path = scratch_path(spark, "usage-csv")
+    n = S.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    S.write_csv(n.withColumn("is_blocked", F.col("n") > 200), path)
+    return spark.read.option("header", True).schema("user_id bigint, n bigint, is_blocked boolean").csv(path)

@@ -60,11 +60,27 @@ def test_nfc(spark):
     assert one(spark, A.nfc(F.col("x")), "é") == "é"
 
 
-def test_cursor_is_checked():
-    t = A.sign({"target": "all", "expires_ms": 10, "at": 3}, b"k")
-    assert A.verify(t, b"k", "all", 5)["at"] == 3
-    assert A.verify(t, b"k", "all", 11) is None and A.verify(t, b"k", "coop", 5) is None
-    assert A.verify(t[:-1] + ("0" if t[-1] != "0" else "1"), b"k", "all", 5) is None and A.verify("", b"k", "all", 5) is None
+def test_cursor_is_checked(spark):
+    import base64
+    import hashlib
+    import hmac
+    import json
+
+    state = F.struct(F.lit(1).alias("v"), F.lit("all").alias("target"), F.lit(10).cast("long").alias("expires_ms"), F.lit(3).alias("at"))
+    token = one(spark, A.sign(state, b"k"))
+    body, mac = token.split(".")
+    assert hmac.new(b"k", body.encode(), hashlib.sha256).hexdigest() == mac and "=" not in body
+    assert json.loads(base64.urlsafe_b64decode(body + "=" * (-len(body) % 4))) == {"v": 1, "target": "all", "expires_ms": 10, "at": 3}
+    seen = lambda t, target, now, **kw: one(spark, A.verify(F.lit(t), b"k", "v int, target string, expires_ms long, at int", F.lit(target), F.lit(now), **kw)["at"])
+    assert seen(token, "all", 5) == 3
+    assert seen(token, "all", 11) is None and seen(token, "coop", 5) is None and seen(token, "all", 5, version=2) is None
+    assert seen(token[:-1] + ("0" if token[-1] != "0" else "1"), "all", 5) is None and seen("", "all", 5) is None and seen("x.y", "all", 5) is None
+    assert one(spark, A.hmac_sha256(F.col("x"), b"s" * 70), "text") == hmac.new(b"s" * 70, b"text", hashlib.sha256).hexdigest()
+
+
+def test_thai_number_columns(spark):
+    df = spark.createDataFrame([("สิบเอ็ด",), (None,), ("คน",)], "x string")
+    assert [r[0] for r in df.select(A.thai_number_words("x")).collect()] == [11, None, None]
 
 
 def test_sections_keep_their_order(spark):
