@@ -40,11 +40,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch folder, removed when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(p)
+    return system.makeQualified(p).toString()  # with its scheme, whatever the cluster's default is
 
 
 def discard(spark: SparkSession, path: str) -> None:

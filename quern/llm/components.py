@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, ship
 
 #: So many contracted links at most are finished by one task (about 16 MB); more go through the rounds.
 ONE_TASK = 1_000_000
@@ -64,6 +64,7 @@ def _contract(batches):
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """links: two long columns. Returns (id, component) for every linked id, component being
     the smallest id reachable. Links with a null end or to itself are ignored; no links, no rows."""
+    ship(spark)
     a, b = links.columns
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = materialise(spark, e.mapInArrow(_contract, "u long, v long"), "links")

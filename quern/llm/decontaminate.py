@@ -32,7 +32,7 @@ from .common import mix, named, numbers, run_hash, ship
 
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 BLOOM = 1 << 23
-# Words for units of measure that follow a number.
+#: Words for units of measure that follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr d kb mb gb tb hz khz mhz ghz w kw v a k c f % $ usd eur gbp "
     "meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams "

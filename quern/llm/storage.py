@@ -9,7 +9,9 @@ from pyarrow import fs
 
 
 def at(uri: str):
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    if ":" not in uri.partition("/")[0]:
+        raise ValueError(f"{uri} names no file system; without one it could mean each machine's own disk")
+    return fs.FileSystem.from_uri(uri)
 
 
 @contextmanager

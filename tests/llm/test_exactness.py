@@ -83,7 +83,6 @@ def test_rows_that_repeat_an_id_keep_their_own_links(spark):
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_components_by_rounds_and_in_one_task(spark, monkeypatch, limit):
     monkeypatch.setattr(components, "ONE_TASK", limit)
-    monkeypatch.setattr(components, "_contract", components._contract)
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(120)] + [(5, 5), (None, 7)]
     root = {}
@@ -95,9 +94,6 @@ def test_components_by_rounds_and_in_one_task(spark, monkeypatch, limit):
         if u is not None and u != v:
             u, v = find(u), find(v)
             root[max(u, v)] = min(u, v)
-    from quern.llm.common import ship
-
-    ship(spark)
     got = dict(tuple(r) for r in components.components(spark, spark.createDataFrame(links, "a long, b long").repartition(5)).collect())
     assert got == {x: find(x) for x in root}
 
