@@ -31,10 +31,19 @@ def search_terms(c: Column) -> Column:
     return F.slice(kept, 1, TERMS)
 
 
+def search_words_sql(column: str) -> str:
+    """All tokens that may be search terms, in DuckDB's SQL."""
+    return rf"list_filter(regexp_extract_all(lower({column}), '([\p{{L}}\p{{M}}\p{{N}}]+)', 1), lambda t: length(t) >= {LETTERS} and t not in ({quoted(GENERIC)}))"
+
+
+def first_distinct_sql(words: str, n: int = TERMS) -> str:
+    """The first n distinct items of a list in order; DuckDB's list_distinct doesn't keep the order."""
+    return f"list_filter({words}, lambda t, i: list_position({words}, t) = i)[1:{n}]"
+
+
 def search_terms_sql(column: str) -> str:
-    """The same in DuckDB's SQL; its list_distinct doesn't keep the order."""
-    words = rf"list_filter(regexp_extract_all(lower({column}), '([\p{{L}}\p{{M}}\p{{N}}]+)', 1), lambda t: length(t) >= {LETTERS} and t not in ({quoted(GENERIC)}))"
-    return f"list_filter({words}, lambda t, i: list_position({words}, t) = i)[1:{TERMS}]"
+    """The same as search_terms, for short texts."""
+    return first_distinct_sql(search_words_sql(column))
 
 
 def points(*rules: tuple[Column, float]) -> Column:

@@ -92,7 +92,7 @@ _TOPIC_SQL = " + ".join("(" + " or ".join(f"contains(lower(text), '{w}')" for w
 
 @query(
     rf"""with i as (select doc_id, text, {_PLAIN.format('text')} as plain, {_PLAIN.format('key')} as key, {_TOPIC_SQL} as topics, len(list_filter(regexp_split_to_array(text, '[.!?]\s+|\n+'), lambda x: trim(x) <> '')) as sentences
-  from (select *, array_to_string({W.search_terms_sql('text')}[1:2], ' ') as key from documents)),
+  from (select doc_id, text, array_to_string({W.first_distinct_sql('words', 2)}, ' ') as key from (select doc_id, text, {W.search_words_sql('text')} as words from documents))),
 c as (select *, length(plain) as n, case when key = '' then 0 else len(list_filter(list_distinct(string_split(key, ' ')), lambda w: list_contains(string_split(plain, ' '), w))) / len(list_distinct(string_split(key, ' ')))::double end as cover from i),
 f as (select doc_id, n, sentences, list_filter([case when trim(text) = '' then 'chunk_empty' end, case when n < 12 then 'chunk_garbage' end, case when n > 0 and n < {LEAST} then 'chunk_too_short' end, case when n > {MOST_SIGNS} then 'chunk_too_long' end,
   case when key = '' then 'keyword_empty' end, case when key <> '' and length(key) < 4 then 'keyword_too_short' end, case when length(key) > 60 then 'keyword_too_long' end, case when key <> '' and n > 0 and not contains(plain, key) then 'keyword_not_in_text' end,
@@ -118,11 +118,13 @@ def chunk_inspection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _COUNT = "len(regexp_extract_all({}, '{}'))"
+_SYMBOLS = r"[◊Ë‡∫≈¡¥_^=<>{}|`\[\]]"
+_SIGNS = r"[^\p{L}\p{M}\p{N}\s]"
 
 
 @query(
     rf"""with m as (select doc_id, text, length(text) as n, {_COUNT.format('text', '[A-Za-z]')} as latin, {_COUNT.format('text', '[ก-๙]')} as thai, {_COUNT.format('text', '�')} as glyphs, {_COUNT.format('text', '[ก-๙] [ก-๙]')} as spaced,
-  {_COUNT.format('text', '[◊Ë‡∫≈¡¥_^=<>{}|`\\[\\]]')} as symbols, {_COUNT.format('text', '[0-9๐-๙]')} as digits from documents),
+  {_COUNT.format('text', _SYMBOLS)} as symbols, {_COUNT.format('text', '[0-9๐-๙]')} as digits from documents),
 p as (select doc_id, case when n < 80 then 35 else 0 end + case when glyphs >= 4 then 25 else 0 end + case when n > 0 and glyphs / n::double > 0.01::double then 15 else 0 end
   + case when latin + thai >= 120 and thai > 0 and thai / (latin + thai)::double < 0.35::double then 20 else 0 end + case when spaced >= 20 then 25 else 0 end
   + case when symbols >= 3 then least(35, symbols * 4) else 0 end + case when n >= 40 and (latin + thai) / n::double < 0.2::double and digits >= 10 then 30 else 0 end as cost from m)
@@ -147,7 +149,7 @@ def extraction_penalties(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     rf"""with m as (select doc_id, text, length(text) as n, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(x)), lambda x: x <> '') as lines, {_COUNT.format('text', '[.!?:]')} as ends from documents),
 f as (select *, len(list_filter(lines, lambda x: length(x) <= 24 and not regexp_matches(x, '[.!?:]$'))) as pieces from m)
-select doc_id from f where trim(text) = '' or {_COUNT.format('text', '�')} >= 3 or {_COUNT.format('text', '[◊Ë‡∫≈¡¥]')} >= 2 or {_COUNT.format('text', '[^\p{L}\p{M}\p{N}\s]')} > 0.2::double * n
+select doc_id from f where trim(text) = '' or {_COUNT.format('text', '�')} >= 3 or {_COUNT.format('text', '[◊Ë‡∫≈¡¥]')} >= 2 or {_COUNT.format('text', _SIGNS)} > 0.2::double * n
   or regexp_matches(lower(text), '(?:^|[\s|])(?:page \d+|fax|email|www\.|https?://|scanner)') or pieces >= 4 and ends = 0"""
 )
 def hard_quality_filter(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,7 +65,8 @@ def throttle(events: DataFrame, key: list[str], order: list[str], ts: str = "ts"
             state.update((int(times[got[-1]]),))
         until = (state.get[0] + within) // 1000 + 1
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield f.iloc[got]
+        if got:
+            yield f.iloc[got]
 
     if events.isStreaming:
         marked = events.withWatermark(ts, f"{minutes} minutes")
