@@ -23,7 +23,7 @@ from .common import ship
 from .features import DIM, fold, gather, ngrams, scored, sums
 from .quality import Constant, clean_labels
 
-POSITIVES, UNLABELLED, FOLDS = 4000, 8000, 3
+POSITIVES, UNLABELLED, FOLDS = 3000, 6000, 3
 KINDS = "lp"
 CUT = 0.7
 #: A slot counts if so many training texts have it and its shares differ by so many standard errors.
