@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.relational import top
+from ..operators.similarity import frequent_terms
 from ..sources.readers import table
 from .base import query
 
@@ -78,9 +78,8 @@ r as (select *, row_number() over (partition by doc_id order by n desc, length(t
 select doc_id, term, n, rank from r where rank <= 8"""
 )
 def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term")).where(F.length("term") >= 4)
-    c = t.groupBy("doc_id", "term").agg(N().alias("n"))
-    return top(c, ["doc_id"], [F.desc("n"), F.desc(F.length("term")), F.asc("term")], 8)
+    long = F.filter(X.tokens(F.col("text")), lambda t: F.length(t) >= 4)
+    return frequent_terms(table(spark, sf, "documents").select("doc_id", long.alias("terms")), 8).withColumnRenamed("id", "doc_id")
 
 
 @query("select d.source, count(*) as n, count(*) filter (where quality = 1) as helpful, count(*) filter (where toxic = 1) as bad, least(6, greatest(0, 2 * (count(*) filter (where quality = 1) - count(*) filter (where toxic = 1)))) as boost from labels l join documents d using (doc_id) group by 1")
