@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 
 import numpy as np
@@ -75,6 +76,17 @@ def thai_number_words(texts: pa.Array) -> pa.Array:
     return pa.array([thai_number(t) for t in coded.dictionary.to_pylist()], pa.int64()).take(coded.indices)
 
 
+_WORDS = re.compile("(?:" + "|".join(sorted([*THAI_UNITS, *THAI_POWERS, THAI_MILLION], key=len, reverse=True)) + ")+")
+
+
+@F.arrow_udf(T.StringType())
+def number_words_replaced(texts: pa.Array) -> pa.Array:
+    """Runs of Thai number words as digits, where they spell a number; other texts pass untouched."""
+    some = pc.fill_null(pc.match_substring_regex(texts, _WORDS.pattern), False)
+    digits = lambda m: m[0] if (n := thai_number(m[0])) is None else str(n)
+    return pc.replace_with_mask(texts, some, pa.array([_WORDS.sub(digits, t) for t in texts.filter(some).to_pylist()], pa.string()))
+
+
 def hmac_sha256(message: Column, secret: bytes) -> Column:
     """HMAC-SHA256 in hexadecimal. Inner and outer key are constants of the plan."""
     key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")

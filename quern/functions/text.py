@@ -136,6 +136,25 @@ def thai_date(c: Column) -> Column:
     return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, part(1).cast("int"))).cast("date")
 
 
+# Thai words of digits and of powers of ten, in order.
+THAI_DIGIT_WORDS = "ศูนย์ หนึ่ง สอง สาม สี่ ห้า หก เจ็ด แปด เก้า".split()
+THAI_POWER_WORDS = ["", "สิบ", "ร้อย", "พัน", "หมื่น", "แสน"]
+
+
+def thai_number_text(c: Column) -> Column:
+    """A whole number below a million in Thai words: a two before ten and a last one have words of their own."""
+    d = c.cast("string")
+    n = F.length(d)
+    words, powers = (F.array(*[F.lit(w) for w in own]) for own in (THAI_DIGIT_WORDS, THAI_POWER_WORDS))
+
+    def word(i: Column) -> Column:
+        digit, power = F.substr(d, i, F.lit(1)).cast("int"), n - i
+        unit = F.when((power == 1) & (digit == 1), "").when((power == 1) & (digit == 2), "ยี่").when((power == 0) & (digit == 1) & (n > 1), "เอ็ด").otherwise(F.get(words, digit))
+        return F.when(digit == 0, "").otherwise(F.concat(unit, F.get(powers, power)))
+
+    return F.when(c == 0, THAI_DIGIT_WORDS[0]).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), n), word), ""))
+
+
 def any_timestamp(c: Column) -> Column:
     """ISO time, else a Thai date, else a bare year, else null."""
     year = F.nullif(F.regexp_extract(thai_digits_to_ascii(c), r"^\s*(\d{4})\s*$", 1), F.lit("")).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import rules as W
 from ..functions import text as X
 from ..operators import relational as R
@@ -155,3 +156,20 @@ def greedy_pages(spark: SparkSession, sf: str) -> DataFrame:
 
     start = F.struct(F.array().cast("array<struct<turn:bigint,page:int>>").alias("out"), F.lit(1).alias("page"), F.lit(0).alias("used"), F.lit(0).alias("held"))
     return rows.select("conv_id", F.inline(F.aggregate("rows", start, step)["out"]))
+
+
+_DIGITS = "[" + ", ".join(f"'{w}'" for w in X.THAI_DIGIT_WORDS) + "]"
+_POWERS = "[" + ", ".join(f"'{w}'" for w in X.THAI_POWER_WORDS) + "]"
+
+
+@query(
+    f"""with d as (select c_custkey as n, c_custkey::varchar as d, length(c_custkey::varchar) as len from customer),
+w as (select n, case when n = 0 then 'ศูนย์' else array_to_string(list_transform(range(1, len + 1), lambda i: case when substr(d, i, 1) = '0' then '' else
+  case when len - i = 1 and substr(d, i, 1) = '1' then '' when len - i = 1 and substr(d, i, 1) = '2' then 'ยี่' when i = len and substr(d, i, 1) = '1' and len > 1 then 'เอ็ด' else ({_DIGITS})[substr(d, i, 1)::int + 1] end
+  || ({_POWERS})[(len - i + 1)::int] end), '') end as words from d)
+select n, words, n as parsed, 'no. ' || n || ' of' as replaced from w"""
+)
+def thai_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers in Thai words, read back alone and within a text."""
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("n"), X.thai_number_text(F.col("c_custkey")).alias("words"))
+    return n.select("n", "words", A.thai_number_words("words").alias("parsed"), A.number_words_replaced(F.concat(F.lit("no. "), "words", F.lit(" of"))).alias("replaced"))
