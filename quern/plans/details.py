@@ -176,3 +176,10 @@ def json_chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = c.select("conv_id", "turn", own.alias("j")).select("conv_id", "turn", item.alias("i"))
     chunk = F.coalesce(F.col("i.chunk_text"), F.regexp_extract(F.col("i.content"), r"^([^\n]*)", 1))
     return rows.select("conv_id", "turn", chunk.alias("chunk"), F.col("i._bad").isNull().alias("valid"))
+
+
+@query(r"select item_id, regexp_extract_all(text, '([\p{L}\p{M}\p{N}]+)', 1) as words from benchmark")
+def word_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Words by the language's rules of word boundaries (Thai has no blanks between words), sentence by sentence."""
+    words = F.flatten(F.sentences(F.col("text"), F.lit("th"), F.lit("TH")))
+    return table(spark, sf, "benchmark").select("item_id", words.alias("words"))
