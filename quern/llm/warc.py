@@ -2,8 +2,8 @@
 
 Writing: each page becomes a request, a response (or a revisit of the page with the smallest id among
 those with an equal payload) and a metadata record that names both by WARC-Concurrent-To, every record its own gzip
-member. Roles come from a digest -> smallest id table (partial aggregation; a hot digest is one row) joined back
-by digest, where Spark may split a skewed digest's pages.
+member. Roles come from a digest -> smallest id table (partial aggregation; a hot digest is one row) that ids and digests are joined with;
+payloads then meet their page's role by page, so a hot digest doesn't bring its payloads together.
 
 Reading: files are parsed record by record; records are joined into captures through their concurrent-to
 identifiers, and one nested row goes out for each capture.
@@ -91,8 +91,11 @@ def write_pages(spark: SparkSession, pages: DataFrame, folder: str | None = None
     folder = folder or scratch_path(spark, "warc")
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    firsts = pages.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = pages.join(firsts, "digest", "left").select("page_id", "url", "html", "first")
+    sized = pages.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).select("page_id", "digest")
+    firsts = sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    # a hot digest's pages meet their first by id and digest alone; payloads travel by page
+    later = sized.join(firsts, "digest").where("page_id != first").distinct()
+    rows = pages.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "first")
     return sorted(rows.mapInArrow(_write(folder), "uri string, n long").collect())
 
 
