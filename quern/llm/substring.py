@@ -7,7 +7,9 @@ meet in one bucket at about three words of traffic a word. A bucket cuts its str
 again, sorts them and marks all but the earliest copy of each.
 
 A window with an earlier copy in the same step of a map task is decided there and doesn't travel, so a
-bucket gets a hot passage once from each step and not once from each document. Windows are sorted by 64-bit hashes, and the
+bucket gets a hot passage once from each step and not once from each document. Beyond ROUND bytes of text there are several groups of
+map tasks: a bucket is first counted within each group, and what stays is packed again and counted for all groups, so that no
+bucket gets a hot passage more often than a group has steps or than there are groups. Windows are sorted by 64-bit hashes, and the
 words of windows with equal hashes are compared: a window whose words differ gets another hash and is sorted again.
 
 Results for odd input: null text has no words; rows with a null id are never compared and keep all
@@ -30,6 +32,9 @@ from .common import Texts, mix, named, numbers, parts, row_of, run_hash, ship, s
 WINDOW, MER = 20, 3
 #: Bytes of text in one step of a map task, and of packed stretches aimed at in one bucket.
 STEP, BUCKET = 8 << 20, 16 << 20
+#: Bytes of text of a group of map tasks whose stretches are counted among themselves first.
+ROUND = 32 << 30
+_PACKED = ["bucket", "id", "th", "start", "n", "pack"]
 _HEAD = np.dtype([("id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
@@ -129,58 +134,79 @@ def _pack(buckets: int):
             blobs, keys = [], []
             for i, j in zip(edges[:-1], edges[1:]):
                 own = by[i:j]
-                pack = head[own].tobytes() + b"\n".join([raw[a[k] : z[k]] for k in own.tolist()])
                 keys.append(int(where[own[0]]))
-                blobs.append(press.compress(len(own).to_bytes(4, "little") + pack))
-            none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), none, none, none, none, pa.array(blobs, pa.binary())], ["bucket", "id", "th", "start", "n", "pack"])
+                blobs.append(_blob(press, head[own], [raw[a[k] : z[k]] for k in own.tolist()]))
+            yield _packs(keys, blobs)
 
     return run
 
 
+def _blob(press, head: np.ndarray, texts: list[bytes]) -> bytes:
+    return press.compress(len(head).to_bytes(4, "little") + head.tobytes() + b"\n".join(texts))
+
+
+def _packs(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    none = pa.nulls(len(buckets), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), none, none, none, none, pa.array(blobs, pa.binary())], _PACKED)
+
+
 def _rows(bucket, ids, th, start, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket, pa.int64()), pa.array(ids, pa.int64()), pa.array(th, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(ids), pa.binary())],
-        ["bucket", "id", "th", "start", "n", "pack"],
+        _PACKED,
     )
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket: all windows of its stretches, sorted; the later copies as runs of window starts."""
-    unpack = zstandard.ZstdDecompressor()
-    own = [table.filter(pc.is_valid(table["id"])).select(["id", "th", "start", "n"])]
-    heads, texts = [], []
-    for blob in table["pack"].to_pylist():
-        if blob is not None:
-            raw = unpack.decompress(blob)
-            k = 4 + int.from_bytes(raw[:4], "little") * _HEAD.itemsize
-            heads.append(np.frombuffer(raw[4:k], _HEAD))
-            texts.append(raw[k:])
-    if heads:
-        head = np.concatenate(heads)
-        raw = b"\n".join(texts)
-        data = np.frombuffer(raw, np.uint8)
-        t = Texts(data, np.array([0, len(data)]))
-        h = t.hashes()
-        n = head["n"].astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])
-        if at[-1] != len(h):
-            raise ValueError("a packed stretch doesn't have the words that its header says")
-        order = np.lexsort((head["start"], head["th"], head["id"]))
-        head, n, first = head[order], n[order], at[:-1][order]
-        item = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
-        at = first[item] + step
-        win = run_hash(h, WINDOW)[at]
-        start = head["start"][item] + step
-        # one owner for each id, text and start: repeated rows are no earlier copy of themselves
-        new = np.concatenate([[True], (np.diff(head["id"]) != 0) | (np.diff(head["th"]) != 0)])
-        owner = (np.cumsum(new)[item] << 32) + start
-        gone = _repeats(win, owner, raw, t.starts[at], t.ends[at + WINDOW - 1])
-        s, e = _runs(gone, item)
-        k = item[s]
-        own.append(pa.table({"id": head["id"][k], "th": head["th"][k], "start": start[s].astype(np.int64), "n": (e - s).astype(np.int64)}))
-    return pa.concat_tables([x.cast(own[0].schema) for x in own])
+def _count(again: bool):
+    """One bucket: all windows of its stretches, sorted; the later copies as runs of window starts. again: what stays goes along, packed for
+    another count."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        own = table.filter(pc.is_valid(table["id"]))
+        decided = [own[c].to_numpy() for c in ("id", "th", "start", "n")]
+        out = [pa.Table.from_batches([_rows(np.full(len(own), -1), *decided)])]
+        heads, texts = [], []
+        for blob in table["pack"].to_pylist():
+            if blob is not None:
+                raw = unpack.decompress(blob)
+                k = 4 + int.from_bytes(raw[:4], "little") * _HEAD.itemsize
+                heads.append(np.frombuffer(raw[4:k], _HEAD))
+                texts.append(raw[k:])
+        if heads:
+            head = np.concatenate(heads)
+            raw = b"\n".join(texts)
+            data = np.frombuffer(raw, np.uint8)
+            t = Texts(data, np.array([0, len(data)]))
+            h = t.hashes()
+            n = head["n"].astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(n + WINDOW - 1)])
+            if at[-1] != len(h):
+                raise ValueError("a packed stretch doesn't have the words that its header says")
+            order = np.lexsort((head["start"], head["th"], head["id"]))
+            head, n, first = head[order], n[order], at[:-1][order]
+            item = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+            at = first[item] + step
+            win = run_hash(h, WINDOW)[at]
+            start = head["start"][item] + step
+            # one owner for each id, text and start: repeated rows are no earlier copy of themselves
+            new = np.concatenate([[True], (np.diff(head["id"]) != 0) | (np.diff(head["th"]) != 0)])
+            owner = (np.cumsum(new)[item] << 32) + start
+            begins, ends = t.starts[at], t.ends[at + WINDOW - 1]
+            gone = _repeats(win, owner, raw, begins, ends)
+            s, e = _runs(gone, item)
+            k = item[s]
+            out.append(pa.Table.from_batches([_rows(np.full(len(s), -1), head["id"][k], head["th"][k], start[s].astype(np.int64), (e - s).astype(np.int64))]))
+            if again and not gone.all():
+                s, e = _runs(~gone, item)
+                rest = np.empty(len(s), _HEAD)
+                rest["id"], rest["th"], rest["start"], rest["n"] = head["id"][item[s]], head["th"][item[s]], start[s], e - s
+                cut = [raw[i:j] for i, j in zip(begins[s].tolist(), ends[e - 1].tolist())]
+                out.append(pa.Table.from_batches([_packs([int(key[0].as_py())], [_blob(zstandard.ZstdCompressor(3), rest, cut)])]))
+        return pa.concat_tables(out).combine_chunks()
+
+    return run
 
 
 def _cut(rest: list[str]):
@@ -235,10 +261,15 @@ def _joined(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, mo
     total = text_bytes(docs, text_col)
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("th"), *more)
     buckets = parts(spark, 3 * total, BUCKET)
-    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_pack(buckets), "bucket long, id long, th long, start long, n long, pack binary")
-    # runs that a map task decided ride along, spread over the buckets by their place, as copies share their text's hash
-    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("id", "start"), F.lit(buckets))).otherwise(F.col("bucket"))
-    runs = packed.groupBy(spread.alias("at")).applyInArrow(_count, "id long, th long, start long, n long")
+    schema = "bucket long, id long, th long, start long, n long, pack binary"
+    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_pack(buckets), schema)
+    # runs that are decided ride along, spread over the buckets by their place, as copies share their text's hash
+    at = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("id", "start"), F.lit(buckets))).otherwise(F.col("bucket")).alias("at")
+    groups = -(-total // ROUND)
+    if groups > 1:
+        group = F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")
+        packed = packed.groupBy(at, group).applyInArrow(_count(True), schema)
+    runs = packed.groupBy(at).applyInArrow(_count(False), schema)
     runs = runs.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return docs.join(runs, (docs.doc_id == runs.id) & (docs.th == runs.th), "left")
 

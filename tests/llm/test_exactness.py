@@ -30,6 +30,26 @@ def test_substrings_compare_words(spark):
     assert {r.doc_id: r.n_removed for r in substring.remove_repeats(spark, df).collect()} == {1: 0, 2: 0, 3: 31}
 
 
+@pytest.mark.parametrize("size", [1 << 40, 20_000])
+def test_substrings_counted_in_one_round_and_in_groups(spark, monkeypatch, size):
+    monkeypatch.setattr(substring, "ROUND", size)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(500)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, base = make(60), make(200)
+    rows = [(k, f"{make(rng.randrange(30))} {passage if k % 3 else base} {make(rng.randrange(40))}") for k in range(120)]
+    seen, want = set(), {}
+    for i, text in rows:
+        w, gone = WORD.findall(text), set()
+        for k in range(len(w) - 19):
+            gone |= set(range(k, k + 20)) if tuple(w[k : k + 20]) in seen else set()
+            seen.add(tuple(w[k : k + 20]))
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    random.Random(3).shuffle(rows)
+    got = substring.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
+
+
 def test_windows_of_equal_hash_are_told_apart():
     raw = b"a b c d a b x y a b c d"
     starts, ends = np.array([0, 8, 16]), np.array([7, 15, 23])
