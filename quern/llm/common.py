@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship  # noqa: F401  (the operators take it from here)
+
 _own: list[str] = []
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
@@ -66,20 +66,6 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         discard(spark, t._scratch)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session, so that nothing has to be installed there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quern_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="quern-")) / "quern_package.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    sc.addPyFile(str(to))
-    sc._quern_shipped = True
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
