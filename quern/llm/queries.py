@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables."""
+"""The operators as queries over the driver's tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, decontaminate, embeddings, minhash, packing, quality, substring, token_files, toxicity, warc
+from . import byte_dedup, decontaminate, embeddings, exact_dedup, minhash, packing, quality, substring, token_files, toxicity, warc
 from .common import read
 from .tokenizing import vocabulary
 
@@ -53,7 +53,12 @@ def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(spark, read(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_embeddings, op3_substrings, op4_suffix_arrays, op5_toxicity, op6_token_files, op7_decontamination, op8_warc, op9_packing, op10_minhash)}
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.duplicates(spark, read(spark, sf, "documents"))
+
+
+_ALL = [op1_quality, op2_embeddings, op3_substrings, op4_suffix_arrays, op5_toxicity, op6_token_files, op7_decontamination, op8_warc, op9_packing, op10_minhash, op12_exact_dedup]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substrings": r"""
@@ -87,4 +92,8 @@ select page_id, strlen(html)::bigint as payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id = first then null else first end as refers_to
 from d join f using (html)""",
+    "op12_exact_dedup": r"""
+with t as (select doc_id, coalesce(length(text), 0) as size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
+g as (select norm, count(*) as group_size, arg_min(doc_id, (-size, doc_id)) as keep_id from t group by norm)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from t join g using (norm)""",
 }
