@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_dedup, decontaminate, embeddings, exact_dedup, minhash, packing, quality, substring, token_files, toxicity, warc
+from . import byte_dedup, decontaminate, embeddings, exact_dedup, hard_negatives, minhash, packing, quality, spelling, substring, token_files, toxicity, warc
 from .common import read
 from .tokenizing import vocabulary
 
@@ -53,11 +54,21 @@ def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(spark, read(spark, sf, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spark, read(spark, sf, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.duplicates(spark, read(spark, sf, "documents"))
 
 
-_ALL = [op1_quality, op2_embeddings, op3_substrings, op4_suffix_arrays, op5_toxicity, op6_token_files, op7_decontamination, op8_warc, op9_packing, op10_minhash, op12_exact_dedup]
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    turned = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(spark, read(spark, sf, "embeddings"), vec_id % 50 == 0, turned)
+
+
+_ALL = [op1_quality, op2_embeddings, op3_substrings, op4_suffix_arrays, op5_toxicity, op6_token_files, op7_decontamination, op8_warc, op9_packing, op10_minhash, op11_spelling_variants, op12_exact_dedup, op13_hard_negatives]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,8 +103,54 @@ select page_id, strlen(html)::bigint as payload_bytes,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id = first then null else first end as refers_to
 from d join f using (html)""",
+    "op11_spelling_variants": r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: case when (a & 1) = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t
+),
+runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents)
+),
+told as (select low, doc_id || ':' || low as s, count(*) as c from runs where length(low) >= 7 group by all),
+hashed as (
+  select low, c, xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(s)), lambda k: ('0x' || substr(hex(encode(s)), (2 * k + 1)::int, 2))::bigint)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) as h
+  from told, crc
+),
+cut as (select c, case when h % 31 = 0 then substr(low, 1, h % length(low)) || substr(low, h % length(low) + 2) else low end as word from hashed),
+v as (select word, sum(c)::bigint as n from cut where length(word) >= 7 group by word having sum(c) >= 2),
+dels as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+pairs as (
+  select a.word as a, b.word as b from dels a join dels b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select dels.word, v.word from dels join v on dels.d = v.word
+  union select v.word, dels.word from dels join v on dels.d = v.word
+),
+near as (select a as word, count(*) as n_near, arg_min(b, (-v.n, b)) as best, max(v.n) as best_n from pairs join v on b = v.word group by a),
+forms as (
+  select word, n, case when best_n >= 10 * n then best end as form, coalesce(n_near, 0) as n_near, case when best_n >= 10 * n then best_n end as form_n from v left join near using (word)
+),
+steps as (
+  select word, coalesce(form, word) as at, form is null as done from forms
+  union all select steps.word, coalesce(forms.form, steps.at), forms.form is null from steps join forms on forms.word = steps.at where not done
+)
+select forms.word, n, form, at as root, n_near, form_n from forms join steps on steps.word = forms.word and done""",
     "op12_exact_dedup": r"""
 with t as (select doc_id, coalesce(length(text), 0) as size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
 g as (select norm, count(*) as group_size, arg_min(doc_id, (-size, doc_id)) as keep_id from t group by norm)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from t join g using (norm)""",
+    "op13_hard_negatives": r"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+  from r a join r b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id, (row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 3""",
 }
