@@ -129,10 +129,10 @@ forms as (
   select word, n, case when best_n >= 10 * n then best end as form, coalesce(n_near, 0) as n_near, case when best_n >= 10 * n then best_n end as form_n from v left join near using (word)
 ),
 steps as (
-  select word, coalesce(form, word) as at, form is null as done from forms
-  union all select steps.word, coalesce(forms.form, steps.at), forms.form is null from steps join forms on forms.word = steps.at where not done
+  select word, coalesce(form, word) as head, form is null as done from forms
+  union all select steps.word, coalesce(forms.form, steps.head), forms.form is null from steps join forms on forms.word = steps.head where not done
 )
-select forms.word, n, form, at as root, n_near, form_n from forms join steps on steps.word = forms.word and done""",
+select forms.word, n, form, head as root, n_near, form_n from forms join steps on steps.word = forms.word and done""",
     "op12_exact_dedup": r"""
 with t as (select doc_id, coalesce(length(text), 0) as size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
 g as (select norm, count(*) as group_size, arg_min(doc_id, (-size, doc_id)) as keep_id from t group by norm)
