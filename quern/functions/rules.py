@@ -52,3 +52,21 @@ def points(*rules: tuple[Column, float]) -> Column:
     for condition, n in rules:
         total = total + F.when(condition, n).otherwise(0)
     return total
+
+
+# Phrases before which a Thai text is cut, with the signs by which each counts as nearer, in order.
+THAI_BOUNDARIES = [
+    ("ตามพระราชบัญญัติ", 100), ("ตามกฎหมาย", 95), ("ตามข้อบังคับ", 92), ("กำหนดให้มี", 90), ("มีอำนาจหน้าที่", 88), ("มีหน้าที่", 84), ("คณะกรรมการดำเนินการควร", 82),
+    ("คณะกรรมการดำเนินการอาจ", 81), ("ผู้จัดการสหกรณ์", 80), ("ผู้จัดการควร", 79), ("และผู้จัดการอาจ", 78), ("เพื่อช่วยเหลือ", 77), ("เพื่อให้", 76), ("ตามความเหมาะสม", 75),
+    ("จึงต้อง", 74), ("จึง", 68), ("แต่ทุกคน", 67), ("สมาชิกทุกคน", 66), ("โครงสร้างของสหกรณ์", 65), ("คณะกรรมการดำเนินการ", 62), ("ผู้จัดการอาจ", 60),
+    ("เจ้าหน้าที่โดยความเห็นชอบ", 58), ("สมาชิกมีสิทธิ", 56), ("สมาชิกมีหน้าที่", 55), ("ประชาธิปไตย", 54),
+]
+# Thai words that tie a passage to the one before it, at its beginning and at that one's end.
+THAI_BEGINS = "และ แต่ เพื่อ โดย ตาม จึง ซึ่ง ที่ ให้ แล้ว".split()
+THAI_ENDS = "และ เพื่อ โดย ตาม จึง ซึ่ง ที่ ให้ แล้ว".split()
+
+#: The same for the languages of the tables (own lists).
+BOUNDARIES = [(" of the ", 55), (" in the ", 50), (" | ", 45), (" and ", 40), (" und ", 40), (" que ", 35), (" les ", 30), (" der ", 30), (" that ", 25)]
+TIES = ["and", "that", "und", "der", "que", "les"]
+#: What a passage is described by: the first pattern in its plain text that matches.
+DESCRIPTORS = [(r"[0-9]{4}", "year"), (r"https?", "link"), ("ung ", "matter"), ("tion ", "action"), ("able ", "able"), ("[0-9]", "number")]

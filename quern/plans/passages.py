@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import rules as W
 from ..functions import text as X
 from ..operators import relational as R
+from ..operators import splitting as P
 from ..sources import readers as S
 from ..sources.readers import table
 from ..sources.scratch import scratch_path
 from .base import query
 from .search import _HITS, token_hits
 
-# Least, wanted and most signs of a chunk, chunks of a text.
-LEAST, WANTED, MOST_SIGNS, CHUNKS = 80, 220, 350, 12
-#: How many signs nearer a split point counts as, by the sign before it.
-PULL = {"\n": 24, ".": 16, ";": 12, ",": 8, " ": 0}
+# Least, wanted and most signs of a chunk.
+LEAST, WANTED, MOST_SIGNS = 80, 220, 350
 
 _TIDY = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
 
@@ -33,50 +32,87 @@ def tidy_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tidy(F.col("text")).alias("clean"))
 
 
-_POINT = (
-    "list_min(list_transform(list_filter(range({least}, least({most}, length(rest) - {least}) + 1), lambda p: substr(rest, p, 1) in ({marks})), "
-    "lambda p: (abs(p - {want}) - case substr(rest, p, 1) {pull} end) * 1000000 + p))"
-).format(
-    least=LEAST, most=MOST_SIGNS, want=WANTED, marks=", ".join(f"chr({ord(k)})" for k in PULL), pull=" ".join(f"when chr({ord(k)}) then {n}" for k, n in PULL.items())
+_PLAIN = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+RULES = P.Rules(
+    markers=[*W.THAI_BOUNDARIES, *W.BOUNDARIES], begins=[*W.THAI_BEGINS, *W.TIES], ends=[*W.THAI_ENDS, *W.TIES], descriptors=W.DESCRIPTORS, common=W.GENERIC, least=LEAST, wanted=WANTED, most=MOST_SIGNS
 )
+_BLANK = r"[ \t\x0B\f\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
+_LINES = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({}, ''), '\r\n?', chr(10), 'g'), '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'), "
+    "'" + _BLANK.replace("{", "{{").replace("}", "}}") + r"', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+)
+_MARKERS = "[" + ", ".join("'" + m + "'" for m, _ in RULES.markers) + "]"
+_NEARER = "[" + ", ".join(str(n) for _, n in RULES.markers) + "]"
 
 
-@query(
-    f"""with recursive t as (select doc_id, {_TIDY.format('text')} as rest from documents),
-c as (select doc_id, 0 as k, null::varchar as chunk, rest from t
-  union all select doc_id, k + 1, trim(substr(rest, 1, cut)), ltrim(substr(rest, cut + 1)) from (
-    select doc_id, k, rest, case when length(rest) <= {MOST_SIGNS} then length(rest) else coalesce((({_POINT}) % 1000000 + 1000000) % 1000000, {MOST_SIGNS}) end as cut from c where k < {CHUNKS} and rest <> ''))
-select doc_id, k - 1 as ordinal, chunk from c where k > 0 and chunk <> ''"""
+def _spots(t: str) -> str:
+    """Where each marker stands in t: structs s (from 0), k."""
+    return (
+        f"flatten(list_transform(range(1, {len(RULES.markers) + 1}), lambda q: list_transform(range(1, len(string_split({t}, {_MARKERS}[q]))), "
+        f"lambda x: {{'s': (list_sum(list_transform(string_split({t}, {_MARKERS}[q])[1:x], lambda y: length(y))) + (x - 1) * length({_MARKERS}[q]))::int, 'k': q::int}})))"
+    )
+
+
+def _cut(t: str) -> str:
+    r, reach = RULES, max(24, (RULES.most - RULES.least) // 2)
+    marker = f"list_sort(list_transform(list_filter({_spots(t)}, lambda x: x.s >= {r.least} and x.s <= length({t}) - {r.least}), lambda x: [abs(x.s - {r.wanted}) - {_NEARER}[x.k], x.k, x.s]))[1][3]"
+    first, last = max(r.least, r.wanted - reach), f"least(length({t}) - {r.least}, {r.wanted + reach})"
+    blank = f"list_sort(list_transform(list_filter(range({first}, {last} + 1), lambda p: substr({t}, p + 1, 1) in (' ', chr(10))), lambda p: [abs(p - {r.wanted}), p]))[1][2]"
+    return f"case when length({t}) > {r.most} then coalesce({marker}, {blank}) end"
+
+
+_ENDS = "' ' || chr(10)"
+_ANY = lambda words: "(" + "|".join(words) + ")"
+_TIED = (
+    f"(length(a[len(a)]) + length(x[1]) <= {RULES.most} and (least(length(a[len(a)]), length(x[1])) <= {RULES.small} or regexp_matches(a[len(a)], '[,:;、，]$') "
+    f"or regexp_matches(x[1], '^{_ANY(RULES.begins)}([ \\n]|$)') or regexp_matches(a[len(a)], '(^|[ \\n]){_ANY(RULES.ends)}$')))"
 )
-def knowledge_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """At most CHUNKS chunks of at most MOST_SIGNS signs. What is too long is cut behind the best sign of those between LEAST
-    and MOST_SIGNS: nearest to WANTED, stronger signs counting as nearer; a text without any is cut at the limit."""
 
-    def point(rest: Column) -> Column:
-        near = F.transform(
-            F.filter(F.sequence(F.lit(LEAST), F.least(F.lit(MOST_SIGNS), F.length(rest) - LEAST)), lambda p: F.substr(rest, p, F.lit(1)).isin(*PULL)),
-            lambda p: F.struct((F.abs(p - WANTED) - _pull(F.substr(rest, p, F.lit(1)))).alias("d"), p.alias("p")),
-        )
-        return F.when(F.length(rest) <= MOST_SIGNS, F.length(rest)).otherwise(F.coalesce(F.array_min(near)["p"], F.lit(MOST_SIGNS)))
 
-    def step(acc: Column, k: Column) -> Column:
-        # the new rest is derived from the old one within one transform, so that the cut is found once
-        both = F.transform(F.array(F.struct(acc["rest"].alias("rest"), point(acc["rest"]).alias("cut"))), lambda s: F.struct(
-            F.concat(acc["out"], F.when(s["rest"] != "", F.array(F.trim(F.substr(s["rest"], F.lit(1), s["cut"])))).otherwise(F.array().cast("array<string>"))).alias("out"),
-            F.ltrim(F.substr(s["rest"], s["cut"] + 1)).alias("rest"),
-        ))
-        return F.get(both, F.lit(0))
+def _garbage(t: str) -> str:
+    flat = rf"regexp_replace(lower({t}), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')"
+    return (
+        rf"(length({flat}) < 12 or regexp_matches(lower({t}), '^(https?://|www\.)') or regexp_full_match({t}, '[0-9 \n.,\-/()]+') or replace({flat}, {flat}[1], '') = '' "
+        rf"or length(regexp_replace({t}, '[\p{{L}}\p{{M}}\p{{N}} \n]', '', 'g')) > 0.5::double * length({t}))"
+    )
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), tidy(F.col("text")).alias("rest"))
-    chunks = F.aggregate(F.sequence(F.lit(1), F.lit(CHUNKS)), start, step)["out"]
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunks).alias("ordinal", "chunk")).where("chunk != ''")
 
+_WORDS_OF = "string_split(plain, ' ')"
 
-def _pull(sign: Column) -> Column:
-    out = F.lit(0)
-    for k, n in PULL.items():
-        out = F.when(sign == k, n).otherwise(out)
-    return out
+
+@query(
+    rf"""with recursive t as (select doc_id, {_LINES.format('text')} as text from documents),
+p as (select doc_id, unnest(l) as p, generate_subscripts(l, 1) as i from (select doc_id, regexp_split_to_array(text, '\n{{2,}}') as l from t)),
+s as (select doc_id, i, trim(unnest(l), {_ENDS}) as s, generate_subscripts(l, 1) as j from (select doc_id, i, string_split(regexp_replace(p, '([!?;:ฯ])[ \n]+', '\1' || chr(1), 'g'), chr(1)) as l from p)),
+c as (select *, case when length(s) > {RULES.most} then list_append(list_reduce(list_concat([[0]], list_transform(list_sort(list_distinct(list_transform({_spots('s')}, lambda x: x.s))), lambda x: [x])),
+  lambda a, x: case when x[1] > 0 and x[1] - a[len(a)] >= {RULES.gap} and length(s) - x[1] >= {RULES.gap} then list_concat(a, x) else a end), length(s)) else [0, length(s)] end as cuts from s),
+g as (select doc_id, format('{{:06d}}{{:06d}}{{:06d}}', i, j, k) as key, trim(substr(s, (cuts[k] + 1)::int, (cuts[k + 1] - cuts[k])::int), {_ENDS}) as txt from (select *, unnest(range(1, len(cuts))) as k from c)),
+h as (
+  select doc_id, key, txt, {_cut('txt')} as cut from g where txt <> ''
+  union all
+  select doc_id, key, txt, {_cut('txt')} from (
+    select doc_id, key || side as key, trim(case side when '0' then substr(txt, 1, cut::int) else substr(txt, cut::int + 1) end, {_ENDS}) as txt
+    from (select *, unnest(['0', '1']) as side from h where cut is not null))),
+l as (select doc_id, list([txt] order by key) as l from h where cut is null and not {_garbage('txt')} group by doc_id),
+m as (select doc_id, list_filter(list_reduce(l, lambda a, x: case when {_TIED} then list_concat(a[1:len(a) - 1], [a[len(a)] || ' ' || x[1]]) else list_concat(a, x) end), lambda y: not {_garbage('y')}) as m from l),
+u as (select doc_id, unnest(m) as chunk, generate_subscripts(m, 1) - 1 as ordinal from m),
+x as (select *, {_PLAIN.format('chunk')} as plain from u),
+a as (select distinct w[n] || ' ' || w[n + 1] as phrase from (select w, unnest(range(1, len(w))) as n from (select regexp_extract_all(lower(text), '([\p{{L}}\p{{M}}\p{{N}}]+)', 1) as w from benchmark))),
+f as (select doc_id, ordinal, phrase from x join a on contains(plain, phrase) qualify row_number() over (partition by doc_id, ordinal order by length(phrase) desc, phrase) = 1),
+aw as (select distinct phrase, unnest(string_split(phrase, ' ')) as w from a), an as (select phrase, count(*) as n from aw group by 1),
+xw as (select distinct doc_id, ordinal, unnest({_WORDS_OF}) as w from x anti join f using (doc_id, ordinal)),
+b as (select doc_id, ordinal, phrase from (select doc_id, ordinal, phrase, count(*) as hits from xw join aw using (w) group by all) join an using (phrase)
+  qualify row_number() over (partition by doc_id, ordinal order by 100 * hits / n::double + length(phrase) desc, phrase) = 1),
+d as (select doc_id, ordinal, chunk, plain, coalesce(f.phrase, b.phrase, '') as anchor, case {' '.join(f"when regexp_matches(plain, '{p}') then '{name}'" for p, name in RULES.descriptors)} else '' end as described
+  from x left join f using (doc_id, ordinal) left join b using (doc_id, ordinal))
+select doc_id, ordinal::int as ordinal, chunk, left(case when anchor = '' and described = '' then array_to_string(list_filter(list_filter({_WORDS_OF}, lambda w, i: list_position({_WORDS_OF}, w) = i), lambda w: w not in ({W.quoted(W.GENERIC)}))[1:6], ' ')
+  when anchor = '' then described when described = '' or contains(replace(anchor, ' ', ''), described) or contains(described, replace(anchor, ' ', '')) then anchor else anchor || ' ' || described end, 255) as keyword from d"""
+)
+def knowledge_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All passages of each text with a keyword. Paragraphs are cut behind signs that end a sentence, what is too long before markers, and what still is by halves at
+    the best boundary; small or tied neighbours are merged and garbage goes. Anchors are the neighbouring words of the questions."""
+    anchors = table(spark, sf, "benchmark").select(F.explode(X.bigrams(X.tokens(F.col("text")))).alias("phrase"))
+    return P.passages(table(spark, sf, "documents").select("doc_id", "text"), RULES, anchors).withColumnRenamed("id", "doc_id")
 
 
 # What each finding about a chunk costs, in order.
@@ -86,7 +122,6 @@ INSPECT = {
 }
 #: Topics by words, for texts that mix them.
 TOPICS = {"money": ["eur", "usd", "%"], "time": ["day", "year", "heute"], "person": ["anna", "mr", "der "]}
-_PLAIN = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
 _TOPIC_SQL = " + ".join("(" + " or ".join(f"contains(lower(text), '{w}')" for w in words) + ")::int" for words in TOPICS.values())
 
 

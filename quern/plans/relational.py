@@ -122,27 +122,6 @@ def first_match_family(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(F.broadcast(rules), F.contains("t", "trigger")).groupBy("item_id").agg(F.min_by("rule", "rule").alias("family"))
 
 
-@query(
-    f"""with m as (select item_id, rule, trigger from benchmark join {_RULES} on contains(lower(text), trigger))
-select item_id, array_to_string(list_sort(list(rule)), ',') as topics, count(*) as n from m a
-where not exists (select 1 from m b where a.item_id = b.item_id and b.trigger <> a.trigger and contains(b.trigger, a.trigger)) group by item_id"""
-)
-def focus_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """All matching topics but those that a longer matching trigger covers."""
-    rules = spark.createDataFrame([r[:2] for r in RULES], "rule string, trigger string")
-    q = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("t"))
-    m = q.join(F.broadcast(rules), F.contains("t", "trigger")).groupBy("item_id").agg(F.collect_list(F.struct("rule", "trigger")).alias("m"))
-    own = F.filter("m", lambda a: ~F.exists("m", lambda b: (b["trigger"] != a["trigger"]) & F.contains(b["trigger"], a["trigger"])))
-    return m.select("item_id", F.array_join(F.array_sort(F.transform(own, lambda a: a["rule"])), ",").alias("topics"), F.size(own).cast("long").alias("n"))
-
-
-@query("select doc_id, contains(replace(lower(text), 'thand', '#'), 'tha') as left_over, contains(lower(text), 'thand') as longer from documents where contains(lower(text), 'tha')")
-def exclusive_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    """A short phrase that only counts outside a longer one: the longer one is masked first."""
-    t = F.lower("text")
-    return table(spark, sf, "documents").where(F.contains(t, F.lit("tha"))).select("doc_id", F.contains(F.replace(t, F.lit("thand"), F.lit("#")), F.lit("tha")).alias("left_over"), F.contains(t, F.lit("thand")).alias("longer"))
-
-
 @query("select user_id, month, max(n) as n from (select user_id, strftime(ts, '%Y-%m') as month, count(*) as n from events group by all union all select user_id, strftime(ts, '%Y-%m'), count(*) from events where event_type = 'click' group by all) group by all")
 def monotone_upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))

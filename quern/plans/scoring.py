@@ -129,43 +129,6 @@ def section_weight(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("item_id", "doc_id", F.when(F.size("wanted") > 0, asked).otherwise(F.when(has, 4).otherwise(0)).alias("points"))
 
 
-#: What a question says, what a text says, points for each such text; the sum of a family is capped.
-BOOSTS = [
-    ("amount", "the", "%", 12), ("amount", "of", "$", 10), ("procedure", "to", "first", 14), ("procedure", "to", "then", 6), ("duty", "is", "must", 12), ("duty", "is", "shall", 9),
-    ("quantity", "that", "number", 8), ("clause", "in", "section", 9), ("clause", "in", "clause", 7), ("formation", "and", "new", 11), ("closing", "and", "end", 9), ("closing", "thand", "tion", 18),
-    ("tax", "that", "eur", 5), ("fee", "for", "rate", 6), ("holding", "was", "share", 7), ("order", "with", "list", 5), ("kind", "on", "q:", 18), ("away", "the", "der ", -22), ("away", "that", "que ", -12),
-]
-UP, DOWN = 80, -110
-_BOOST_ROWS = ", ".join(f"('{f}', '{a}', '{b}', {n})" for f, a, b, n in BOOSTS)
-_BOOSTED = f"""{_HITS}, top as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as k from hits),
-x as (select item_id, doc_id, hits, lower(b.text) as asked, lower(d.text) as said, d.source from top join benchmark b using (item_id) join documents d using (doc_id) where k <= {MOST}),
-f as (select item_id, doc_id, family, sum(points) as points from x join (values {_BOOST_ROWS}) as r(family, trigger, word, points) on contains(asked, trigger) and contains(said, word) group by all),
-c as (select x.item_id, x.doc_id, any_value(hits) as hits, greatest({DOWN}, least({UP}, coalesce(sum(points), 0)))::bigint as focus, list_sort(list(family) filter (where family is not null)) as families from x left join f using (item_id, doc_id) group by 1, 2)"""
-
-
-def boosted(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with the capped sum of the rules whose words their question and their text hold: one theta join with a rule table."""
-    top = R.top(token_hits(spark, sf), ["item_id"], [F.desc("hits"), F.asc("doc_id")], MOST, "k").select("item_id", "doc_id", "hits")
-    q, d = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("asked")), table(spark, sf, "documents").select("doc_id", F.lower("text").alias("said"))
-    x = top.join(R.small(q), "item_id").join(d, "doc_id")
-    rules = F.broadcast(spark.createDataFrame(BOOSTS, "family string, trigger string, word string, points int"))
-    met = x.join(rules, F.contains("asked", "trigger") & F.contains("said", "word"))
-    f = met.groupBy("item_id", "doc_id", "family").agg(F.sum("points").alias("points")).groupBy("item_id", "doc_id").agg(F.sum("points").alias("points"), F.array_sort(F.collect_list("family")).alias("families"))
-    focus = F.greatest(F.lit(DOWN), F.least(F.lit(UP), F.coalesce("points", F.lit(0))))
-    return top.join(f, ["item_id", "doc_id"], "left").select("item_id", "doc_id", "hits", focus.cast("long").alias("focus"), "families")
-
-
-@query(f"with {_BOOSTED} select item_id, doc_id, focus, coalesce(families, []) as families from c")
-def topic_boosts(spark: SparkSession, sf: str) -> DataFrame:
-    return boosted(spark, sf).select("item_id", "doc_id", "focus", F.coalesce("families", F.array().cast("array<string>")).alias("families"))
-
-
-@query(f"with {_BOOSTED}, r as (select *, row_number() over (partition by item_id order by focus desc, hits desc, doc_id) as place from c) select item_id, doc_id, place from r where place <= 10")
-def focus_resort(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources ordered by their focus, then by their score."""
-    return R.top(boosted(spark, sf), ["item_id"], [F.desc("focus"), F.desc("hits"), F.asc("doc_id")], 10, "place").select("item_id", "doc_id", "place")
-
-
 @query("select doc_id, contains(lower(text), 'that the') and not contains(lower(text), 'the that') as asks_a, contains(lower(text), 'of the') and not contains(lower(text), 'that the') as about_b from documents where contains(lower(text), 'the')")
 def opposing_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Two opposed topics: which of them a text is about, by a phrase that the other excludes."""
