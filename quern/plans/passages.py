@@ -304,18 +304,6 @@ def import_rows(spark: SparkSession, sf: str) -> DataFrame:
 _TTL = "case event_type when 'click' then 5 when 'view' then 10 when 'purchase' then 30 else 15 end"
 
 
-@query(
-    f"""with e as (select event_id, user_id, event_type, ts, lag(ts) over (partition by user_id, event_type order by ts, event_id) as before from events)
-select event_id, before is not null and ts <= before + to_minutes({_TTL}::int) as hit from e"""
-)
-def cache_reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether each read finds what the read before it stored: its age is within the time to live of its kind."""
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    ttl = F.when(F.col("event_type") == "click", 5).when(F.col("event_type") == "view", 10).when(F.col("event_type") == "purchase", 30).otherwise(15)
-    e = table(spark, sf, "events").withColumn("before", before)
-    return e.select("event_id", F.coalesce(F.col("ts") <= F.col("before") + F.make_dt_interval(mins=ttl), F.lit(False)).alias("hit"))
-
-
 @query("with k as (select user_id, event_type, min((ts, event_id)) as first, count(*) as hits from events group by 1, 2) select user_id, event_type, hits from k order by first desc limit 200")
 def cache_entries(spark: SparkSession, sf: str) -> DataFrame:
     """The 200 entries that were put in last, with their hits."""

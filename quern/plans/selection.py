@@ -213,16 +213,6 @@ def running_budget_page(spark: SparkSession, sf: str) -> DataFrame:
     return R.running_page(c, ["conv_id"], [F.asc("turn")], F.length("text"), 1200).select("conv_id", "turn", "page")
 
 
-_TOPIC = "case when contains(lower(text), 'that') then 'that' when contains(lower(text), 'der ') then 'der' when contains(lower(text), 'que') then 'que' end"
-
-
-@query(f"with t as (select conv_id, turn, {_TOPIC} as topic from conversations) select conv_id, turn, last_value(topic ignore nulls) over (partition by conv_id order by turn rows between 8 preceding and 1 preceding) as topic from t")
-def last_turn_topic(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "conversations").withColumn("topic", X.first_match(F.lower("text"), [("that", "that"), ("der", "der "), ("que", "que")]))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-8, -1)
-    return t.select("conv_id", "turn", F.last("topic", ignorenulls=True).over(w).alias("topic"))
-
-
 @query("select conv_id, turn, list(role || ':' || length(text)) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) as history from conversations where true qualify turn > 0")
 def last_three_turns(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)
