@@ -21,7 +21,8 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 def ngrams(data: np.ndarray, bounds: np.ndarray, kinds: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature slots of each text, with bounds. kinds: w words as they are, l words in
-    lower case without marks at their ends, p the first four, six and eight bytes of longer ones of these, b pairs of words, c runs of four bytes."""
+    lower case without marks at their ends, p the first four, six and eight bytes of longer ones of these, m such beginnings of two or four words or more, d
+    of one word in 8, 32, 128 or 512 or more, b pairs of words, c runs of four bytes."""
     t = Texts(data, bounds)
     n = len(t.counts)
     own: list[tuple[np.ndarray, np.ndarray]] = []
@@ -31,15 +32,26 @@ def ngrams(data: np.ndarray, bounds: np.ndarray, kinds: str) -> tuple[np.ndarray
     if "b" in kinds:
         pairs = np.concatenate([_slots(run_hash(h, 2)), np.zeros(min(1, len(h)), np.int32)])
         own.append((pairs, np.minimum(t.first, len(pairs))))
-    if set("lp") & set(kinds):
+    if set("lpmd") & set(kinds):
         low = Texts(_bare(data), bounds)
     if "l" in kinds:
         own.append((_slots(mix(low.hashes() + np.uint64(3))), low.first))
-    if "p" in kinds:
+    if set("pmd") & set(kinds):
+        word_doc = low.docs()
         for size in (4, 6, 8):
             at = np.flatnonzero(low.ends - low.starts > size)
-            heads = span_hashes(low.data, low.starts[at], low.starts[at] + size)
-            own.append((_slots(mix(heads + np.uint64(7))), np.searchsorted(at, low.first)))
+            heads = _slots(mix(span_hashes(low.data, low.starts[at], low.starts[at] + size) + np.uint64(7)))
+            if "p" in kinds:
+                own.append((heads, np.searchsorted(at, low.first)))
+            if set("md") & set(kinds):
+                key = np.sort(word_doc[at] << BITS | heads)
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+                many, key = np.diff(np.append(first, len(key))), key[first]
+                doc, head = key >> BITS, (key & (DIM - 1)).astype(np.uint64)
+                some = [(k, many >= k) for k in (2, 4) if "m" in kinds] + [(64 + k, many << k >= low.counts[doc]) for k in (3, 5, 7, 9) if "d" in kinds]
+                for tag, which in some:
+                    own.append((_slots(mix(head + np.uint64(tag << 32))), np.searchsorted(doc[which], np.arange(n + 1))))
+                    own[-1] = (own[-1][0][which], own[-1][1])
     if "c" in kinds:
         runs = _slots(run_hash(_BYTE[data], 4))
         own.append((np.concatenate([runs, np.zeros(min(3, len(data)), np.int32)]), bounds))
