@@ -33,7 +33,7 @@ POSITIVES, FOLDS = 3000, 3
 KINDS = "lpmd"
 CUT = 0.7
 #: A slot counts if so many training texts have it and its shares differ by so many standard errors.
-LEAST, CLEAR = 3, 3.5
+LEAST, CLEAR = 3, 2.5
 #: Evaluations at most, what the weights' squares cost, how wide (in priors) the corner of the risk is rounded, bins of margins from -SPAN to SPAN.
 STEPS, DECAY, ROUND, BINS, SPAN = 40, 2e-3, 0.02, 1 << 14, 64.0
 
@@ -181,14 +181,15 @@ def posterior(margin: np.ndarray, pos: np.ndarray, prior: float) -> tuple[np.nda
 def pooled(margin: np.ndarray, confirmed: np.ndarray, others: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the growing function g of the margin (ascending, with counts) that minimises the risk with squared loss, E_U[g**2] - 2*p*E_P[g]: in each
     pool of neighbouring margins g is p times the confirmed ones' share of the pool by the unlabelled ones'."""
-    wp, wu, n = confirmed * prior / max(confirmed.sum(), 1), others / max(others.sum(), 1), confirmed + others
-    pools: list[list[float]] = []  # share of confirmed, of unlabelled, sum of margins, rows
-    for x, p, u, k in zip((margin * n).tolist(), wp.tolist(), wu.tolist(), n.tolist()):
-        pools.append([p, u, x, k])
+    wp, wu = confirmed * prior / max(confirmed.sum(), 1), others / max(others.sum(), 1)
+    pools: list[tuple[float, float, float, float]] = []  # share of confirmed, of unlabelled, least and greatest margin
+    for x, p, u in zip(margin.tolist(), wp.tolist(), wu.tolist()):
+        pools.append((p, u, x, x))
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return np.array([q[2] / q[3] for q in pools]), np.array([min(q[0] / q[1], 1.0) if q[1] else 1.0 for q in pools])
+            last, before = pools.pop(), pools.pop()
+            pools.append((before[0] + last[0], before[1] + last[1], before[2], last[3]))
+    knots = [(x, min(p / u, 1.0) if u else 1.0) for p, u, low, high in pools for x in ([low, high] if low < high else [low])]
+    return np.array([x for x, _ in knots]), np.array([g for _, g in knots])
 
 
 def fit(y: np.ndarray, part: np.ndarray, slots: np.ndarray, bounds: np.ndarray, prior: float):
