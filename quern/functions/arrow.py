@@ -97,7 +97,7 @@ def hmac_sha256(message: Column, secret: bytes) -> Column:
 
 def sign(state: Column, secret: bytes) -> Column:
     """An opaque cursor: the struct as base64url JSON and its HMAC-SHA256."""
-    body = F.rtrim(F.translate(F.base64(F.to_json(state).cast("binary")), "+/", "-_"), F.lit("="))
+    body = F.translate(F.base64(F.to_json(state).cast("binary")), "+/=\r\n", "-_")  # Spark breaks long ones into lines
     return F.concat(body, F.lit("."), hmac_sha256(body, secret))
 
 

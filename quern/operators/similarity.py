@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relational import small, top
+from .relational import top
 
-#: Vectors and queries of a block.
-BLOCK, ASKED = 4096, 1024
+#: Vectors and queries of a block; bytes of query vectors that a round broadcasts at most.
+BLOCK, ASKED, ROUND = 4096, 1024, 32 << 20
 
 
 def _packed(size: int) -> Callable:
@@ -39,7 +39,7 @@ def _packed(size: int) -> Callable:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries (id, e) against all vectors (id, e), but their own id: query_id, id, sim, rank of the k nearest by cosine, the smaller id
     first among equals. Blocks of queries meet blocks of vectors; a product keeps k of each query, so what is shuffled
-    is k rows for each query and block. Vectors of another length have cosine 0."""
+    is k rows for each query and block. The query blocks are sized first and broadcast in rounds of at most ROUND bytes. Vectors of another length have cosine 0."""
     block = lambda df, size: df.mapInArrow(_packed(size), "dim int, ids binary, unit binary")
     q = block(queries, ASKED).toDF("dim_q", "ids_q", "unit_q")
 
@@ -61,7 +61,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 row, col = row[place < k], col[place < k]
                 yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(ids[col]), pa.array(order[row, col])], ["query_id", "id", "sim"])
 
-    met = block(vectors, BLOCK).crossJoin(small(q)).mapInArrow(run, "query_id long, id long, sim double")
+    size = q.agg(F.sum(F.octet_length("unit_q") + F.octet_length("ids_q"))).first()[0] or 0
+    rounds = -(-size // ROUND) or 1
+    met = None
+    for n in range(rounds):
+        part = q.where(F.pmod(F.xxhash64("ids_q"), F.lit(rounds)) == n) if rounds > 1 else q
+        one = block(vectors, BLOCK).crossJoin(F.broadcast(part)).mapInArrow(run, "query_id long, id long, sim double")
+        met = one if met is None else met.union(one)
     return top(met, ["query_id"], [F.desc("sim"), F.asc("id")], k)
 
 

@@ -65,6 +65,9 @@ _LINK, _NUMBERS, _OPEN_END = re.compile("(?:https?://|www\\.)", re.I), re.compil
 
 def garbage(text: str) -> bool:
     """Too little to read, a link, figures or signs only, more signs than letters, or one sign over and over."""
+    letters = sum(map(str.isalnum, text))  # marks aside, so at least so many
+    if letters >= 12 and 2 * (letters + text.count(" ") + text.count("\n")) >= len(text) and len(set(text)) > 5 and text[0] not in "hHwW" and not text[0].isdigit():
+        return False
     flat = plain(text).replace(" ", "")
     if len(flat) < 12 or _LINK.match(text) or _NUMBERS.fullmatch(text) or flat == flat[0] * len(flat):
         return True
@@ -153,7 +156,7 @@ class Splitter:
                 out[-1] += " " + piece
             else:
                 out.append(piece)
-        return [p for p in out if not garbage(p)][: self.rules.passages]
+        return out[: self.rules.passages]  # passages of pieces that aren't garbage aren't either
 
 
 class Keywords:

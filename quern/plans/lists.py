@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import rules as W
 from ..functions import text as X
+from ..operators import paging as P
 from ..operators import relational as R
 from ..sources.readers import table
 from .base import query
@@ -138,24 +139,32 @@ def plain_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.trim(plain).alias("plain"))
 
 
-@query(
-    """with recursive c as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by turn) as k from conversations),
-g as (select conv_id, turn, k, n, 1 as page, n as used, 1 as held from c where k = 1
+_PAGES = """with recursive c as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by turn) as k from conversations),
+g as (select conv_id, turn, k, n, 1 as page, n as used, 1 as held from c where k = {start}
   union all select c.conv_id, c.turn, c.k, c.n, case when g.used + c.n > 1200 or g.held >= 4 then g.page + 1 else g.page end,
     case when g.used + c.n > 1200 or g.held >= 4 then c.n else g.used + c.n end, case when g.used + c.n > 1200 or g.held >= 4 then 1 else g.held + 1 end from g join c on c.conv_id = g.conv_id and c.k = g.k + 1)
-select conv_id, turn, page from g"""
-)
-def greedy_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages filled in order: a page ends where the next row would pass 1200 signs, or holds four rows. A conversation's lengths are folded in one array."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("rows"))
+select conv_id, turn, page::bigint as page from g"""
 
-    def step(acc, x):
-        full = (acc["used"] + x["n"] > 1200) | (acc["held"] >= 4)
-        page = F.when(full, acc["page"] + 1).otherwise(acc["page"])
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["turn"].alias("turn"), page.alias("page")))).alias("out"), page.alias("page"), F.when(full, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), F.when(full, 1).otherwise(acc["held"] + 1).alias("held"))
 
-    start = F.struct(F.array().cast("array<struct<turn:bigint,page:int>>").alias("out"), F.lit(1).alias("page"), F.lit(0).alias("used"), F.lit(0).alias("held"))
-    return rows.select("conv_id", F.inline(F.aggregate("rows", start, step)["out"]))
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return P.numbered(table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n")), "conv_id", ["turn"])
+
+
+@query(_PAGES.format(start=1))
+def greedy_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages filled in order: a page ends where the next row would pass 1200 signs, or holds four rows."""
+    return P.pages(_lengths(spark, sf), "conv_id", "n", 1200, 4).select("conv_id", "turn", "page")
+
+
+@query(_PAGES.format(start=3))
+def resumed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages behind signed cursors that stand at each conversation's third row; a cursor that was altered or has run out resumes nothing."""
+    rows = _lengths(spark, sf)
+    secret, now = b"of the tables", F.lit(1_700_000_000_000)
+    state = F.struct(F.lit(1).alias("v"), F.lit("pages").alias("target"), (now + 3_600_000).alias("expires_ms"), "conv_id", "k")
+    tokens = rows.where("k = 3").select(A.sign(state, secret).alias("token"))
+    opened = tokens.select(A.verify(F.col("token"), secret, "v int, target string, expires_ms long, conv_id long, k long", F.lit("pages"), now).alias("s")).where("s is not null")
+    return P.pages(rows, "conv_id", "n", 1200, 4, opened.select("s.conv_id", "s.k")).select("conv_id", "turn", "page")
 
 
 _DIGITS = "[" + ", ".join(f"'{w}'" for w in X.THAI_DIGIT_WORDS) + "]"

@@ -349,15 +349,23 @@ def page_identity(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(n, "h").select("page_id", "h", (F.col("n") > 1).alias("repeated"))
 
 
-@query(r"select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(x)), lambda x: x <> '')[1:20] as lines from documents")
+@query(r"select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(x)), lambda x: x <> '') as lines from documents")
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A text's first twenty lines as a reader of text files gives them."""
+    """A text's lines as a reader of text files gives them."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf, "documents").select("doc_id", F.slice(lines, 1, 20).alias("lines"))
+    return table(spark, sf, "documents").select("doc_id", lines.alias("lines"))
 
 
-@query("select event_id, json_extract(props, '$.k')::bigint as k, true as valid from events")
+@query(
+    """with l as (select ts::date as day, row_number() over (partition by ts::date order by event_id) as line, event_type, props from events)
+select day, line, case when event_type <> 'error' then json_extract(props, '$.k')::bigint end as k, event_type <> 'error' as valid from l where event_type <> 'signup'"""
+)
 def checked_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of a JSON log with whether they parse."""
-    rows = S.json_lines_checked(table(spark, sf, "events").select("event_id", F.col("props").alias("value")).select("value", "event_id"), "k bigint", keep=["event_id"])
-    return rows.select("event_id", F.col("record.k").alias("k"), "valid")
+    """Daily JSON logs written and read back: each line's number in its file, its record, and whether it parses. Errors were logged without their
+    last sign, and sign-ups as blank lines, which count but hold no record."""
+    line = F.when(F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")).when(F.col("event_type") == "signup", "").otherwise(F.col("props"))
+    log = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_id", line.alias("value"))
+    path = scratch_path(spark, "log")
+    log.repartition("day").sortWithinPartitions("day", "event_id").select("value", "day").write.partitionBy("day").text(path)
+    rows = S.json_lines_checked(S.numbered_lines(spark, path), "k bigint", keep=["day", "line"])
+    return rows.select("day", "line", F.when(F.col("valid"), F.col("record.k")).alias("k"), "valid")

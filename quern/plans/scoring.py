@@ -12,8 +12,8 @@ from ..sources.readers import table
 from .base import query
 from .search import _HITS, _NORM, MOST, questions, token_hits
 
-#: Candidates that the cheap score leaves for the full one.
-FIRST = 300
+#: Candidates that the cheap score leaves for the full one; questions that a text meets at one go, at most.
+FIRST, ASKED = 300, 1000
 # Points of the full score.
 PHRASE, TOKEN, BIGRAM, SOURCE, COVER, KEYWORD, NO_KEYWORD = 30, 8, 10, 6, 20, 12, -18
 
@@ -32,8 +32,10 @@ def near(spark: SparkSession, sf: str) -> DataFrame:
     cheap = cheap.withColumn("cheap", 7 * F.col("hits") + F.when(F.col("source").isin("src0", "src1"), 5).otherwise(0))
     kept = R.top(cheap, ["item_id"], [F.desc("cheap"), F.asc("doc_id")], FIRST, "k").drop("k", "cheap", "source")
     q = questions(spark, sf).withColumn("pairs", X.bigrams(F.col("terms")))
+    # a text meets its questions once, in blocks of them, and is scored where it is
+    wanted = kept.join(R.small(q), "item_id").groupBy("doc_id", F.floor(F.col("item_id") / ASKED)).agg(F.collect_list(F.struct("item_id", "hits", "n_terms", "terms", "norm", "pairs")).alias("asked"))
     body = d.select("doc_id", "source", "text", X.normalise(F.col("text")).alias("body"))
-    rows = kept.join(R.small(q), "item_id").join(body, "doc_id")
+    rows = body.join(wanted.select("doc_id", "asked"), "doc_id").select("doc_id", "source", "text", "body", F.inline("asked"))
     return rows.withColumns({"phrase": F.contains("body", "norm"), "bigrams": F.size(F.filter("pairs", lambda p: F.contains(F.col("body"), p)))})
 
 

@@ -150,9 +150,8 @@ def full_outer_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """For each question the best keyword and vector hits merged (its vector is the one of its own id); both: keyword score and 0.3 of the vector's."""
     kw = top(token_hits(spark, sf), ["item_id"], [F.desc("hits"), F.asc("doc_id")], MOST).select("item_id", F.col("doc_id").alias("id"), (TOKEN * F.col("hits")).alias("kw"))
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    p = v.join(small(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select("item_id", F.col("embedding").alias("pe"))
-    sim = v.join(small(p), F.col("vec_id") != F.col("item_id")).withColumn("sim", X.cosine(F.col("pe"), F.col("embedding")))
-    sem = top(sim, ["item_id"], [F.desc("sim"), F.asc("vec_id")], MOST).select("item_id", F.col("vec_id").alias("id"), X.half_up(200 * F.col("sim")).alias("sem"))
+    p = v.join(small(table(spark, sf, "benchmark").select("item_id")), F.col("vec_id") == F.col("item_id")).select("item_id", "embedding")
+    sem = nearest(p, v, MOST).select(F.col("query_id").alias("item_id"), "id", X.half_up(200 * F.col("sim")).alias("sem"))
     both = F.col("kw") + X.half_up(F.lit(0.3) * F.col("sem"))
     return kw.join(sem, ["item_id", "id"], "full_outer").select("item_id", "id", "kw", "sem", F.when(F.col("kw").isNull(), F.col("sem")).when(F.col("sem").isNull(), F.col("kw")).otherwise(both).cast("double").alias("score"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ship import ship
@@ -29,6 +30,31 @@ def json_lines_checked(lines: DataFrame, schema: str, line: str = "value", keep:
     return lines.where(F.trim(line) != "").select(F.col(line), *keep, record.alias("record")).withColumn("valid", F.col("record").isNotNull() & F.col("record._bad").isNull())
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their numbers (from 1) in their file: file, line, value, and the folder's partition columns. Spark splits files at line ends; lines are
+    numbered within each split where they are read, and a prefix sum over the counts of a file's splits gives where each one begins."""
+    lines = spark.read.text(path)
+    rest = [c for c in lines.columns if c != "value"]
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"), *rest)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}  # of the splits of this task
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            place = []
+            for key in keys:
+                place.append(seen.get(key, 0))
+                seen[key] = place[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], [*batch.schema.names, "place"])
+
+    own = placed.mapInArrow(count, schema + ", place long")
+    sizes = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return own.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("place") + 1).alias("line"), "value", *rest)
+
+
 def json_items(c: Column) -> Column:
     """Items of a JSON document that is an array, an object with chunks, items or rows, or one object."""
     v = F.try_parse_json(c)

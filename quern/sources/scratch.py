@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -28,3 +28,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.deleteOnExit(p)
     return system.makeQualified(p).toString()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the scratch folder, and a reader of it: what several jobs read, or a lineage that is cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

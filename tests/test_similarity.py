@@ -31,3 +31,11 @@ def test_frequent_terms(spark):
     got = sorted(tuple(r) for r in frequent_terms(df.repartition(2), 3).collect())
     assert got == [(1, "a", 2, 2), (1, "bb", 2, 1), (1, "ccc", 1, 3), (4, "x", 1, 1)]
     assert frequent_terms(df.where(F.lit(False)), 3).count() == 0
+
+
+def test_nearest_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(60)], "id long, e array<float>").repartition(9)
+    whole = sorted(tuple(r) for r in nearest(v, v, 3).collect())
+    monkeypatch.setattr("quern.operators.similarity.ROUND", 300)
+    assert sorted(tuple(r) for r in nearest(v, v, 3).collect()) == whole and len(whole) == 180
