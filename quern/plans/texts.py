@@ -9,6 +9,7 @@ from ..functions import arrow as A
 from ..functions import rules as W
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import prefix_join as J
 from ..operators import quality as G
 from ..operators import relational as R
 from ..sources import readers as S
@@ -67,22 +68,39 @@ select a, b, sum(case when best >= 0.92::double then 12 when best >= 0.82::doubl
 )
 def fuzzy_token_score(spark: SparkSession, sf: str) -> DataFrame:
     """For each two questions: 12, 7 or 3 points for each search term of the first whose best Dice with a token of the second is
-    at least .92, .82 or .72. Distinct tokens are compared once, and only with tokens that share a letter pair."""
+    at least .92, .82 or .72. Distinct tokens are compared once, and only with tokens that share a rare letter pair (prefix filter)."""
     q = S.table(spark, sf, "benchmark")
     t = q.select("item_id", F.explode(W.search_terms(F.col("text"))).alias("t"))
     u = q.select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("u"))
     words = t.select(F.col("t").alias("w")).union(u.select("u")).distinct()
-    n = words.select("w", F.explode(X.char_bigrams(F.col("w"))).alias("g")).groupBy("w", "g").agg(F.count(F.lit(1)).alias("n"))
-    size = n.groupBy("w").agg(F.sum("n").alias("size"))
-    shared = n.select(F.col("w").alias("t"), "g", F.col("n").alias("nt")).join(n.select(F.col("w").alias("u"), "g", F.col("n").alias("nu")), "g").groupBy("t", "u").agg(F.sum(F.least("nt", "nu")).alias("shared"))
-    sized = shared.join(size.select(F.col("w").alias("t"), F.col("size").alias("st")), "t").join(size.select(F.col("w").alias("u"), F.col("size").alias("su")), "u")
-    near = sized.select("t", "u", (F.lit(2.0) * F.col("shared") / (F.col("st") + F.col("su"))).alias("dice")).where("dice >= cast(0.72 as double)")
+    pairs = J.near_sets(words.select(F.col("w").alias("id"), J.occurrences(X.char_bigrams(F.col("w"))).alias("items")), "dice", 0.72)
+    one = pairs.select("a", "b", (F.lit(2.0) * F.col("common") / (F.col("na") + F.col("nb"))).alias("dice"))
+    near = one.union(one.select("b", "a", "dice")).union(words.where(F.length("w") > 1).select("w", "w", F.lit(1.0))).toDF("t", "u", "dice")
     met = t.select(F.col("item_id").alias("a"), "t").join(near, "t").join(u.select(F.col("item_id").alias("b"), "u"), "u").where("a != b")
     best = met.groupBy("a", "b", "t").agg(F.max("dice").alias("best"))
     points = F.when(F.col("best") >= 0.92, 12).when(F.col("best") >= 0.82, 7).otherwise(3)
     return best.groupBy("a", "b").agg(F.sum(points).alias("score"))
 
 
+#: Distinct tokens of a line that is compared with others, and the share of the shorter line's tokens that near lines have in common.
+LINE, SHARED = 8, 0.8
+
+
+@query(
+    f"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\\n+')) as line, generate_subscripts(regexp_split_to_array(text, '\\n+'), 1) as k from documents),
+t as (select doc_id, k, list_sort(list_distinct({_TOK.replace('text', 'line')})) as items from l), s as (select * from t where len(items) >= {LINE}),
+c as (select items, min(format('{{:012d}}:{{:06d}}', doc_id, k)) as id, count(*) as lines from s group by items),
+x as (select id, len(items) as n, unnest(items) as item from c),
+p as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from x a join x b using (item) where a.n < b.n or (a.n = b.n and a.id < b.id) group by 1, 2 having count(*) >= {SHARED}::double * any_value(a.n))
+select a, b, common::int as common, na::int as na, nb::int as nb from p"""
+)
+def similar_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all texts that share four fifths of the shorter one's tokens. Lines with equal tokens are one class, named by its first line; b is the longer one."""
+    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\n+")).alias("k", "line"))
+    t = d.select(F.format_string("%012d:%06d", "doc_id", F.col("k") + 1).alias("id"), F.array_sort(F.array_distinct(X.tokens(F.col("line")))).alias("items"))
+    return J.near_sets(t.where(F.size("items") >= LINE).groupBy("items").agg(F.min("id").alias("id")).select("id", "items"), "overlap", SHARED)
+
+
 @query(f"select item_id, sha256('all::' || 'law' || '::' || {_NORM}) as key from benchmark")
 def question_hash(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "benchmark").select("item_id", X.question_key(F.lit("all"), F.lit("law"), F.col("text")).alias("key"))
