@@ -112,17 +112,17 @@ def prefix_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 _RERANK = f"""{_CAND}, t as (select item_id, doc_id, 8 * hits as base, floor(1.2::double * case source when 'src0' then 10 when 'src1' then 6 else 2 end + 0.5)::int as priority,
   case when lang = 'en' then 12 else 4 end as authority, case when n_chars > 3000 then -18 else 0 end as off_topic,
-  case when doc_id % 400 <= 30 then 10 when doc_id % 400 <= 180 then 6 when doc_id % 400 <= 365 then 2 else -4 end as freshness from cand)"""
+  case when age is null then 0 when age <= 30 then 10 when age <= 180 then 6 when age <= 365 then 2 when age <= 1095 then 0 else -4 end as freshness from (select cand.*, date_diff('day', o_orderdate, date '2001-09-01') as age from cand left join orders on o_orderkey = doc_id))"""
 
 
 def reranked(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with the parts of their score and its sum; a document's age is its id modulo 400 days."""
-    s = F.col("source")
-    age = F.col("doc_id") % 400
-    t = candidates(spark, sf).select(
+    """Candidates with the parts of their score and its sum; the date of the order of the same number stands for a document's."""
+    s, age = F.col("source"), F.col("age")
+    dates = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_diff(F.lit("2001-09-01").cast("date"), F.to_date("o_orderdate")).alias("age"))
+    t = candidates(spark, sf).join(dates, "doc_id", "left").select(
         "item_id", "doc_id", (8 * F.col("hits")).alias("base"), X.half_up(F.lit(1.2) * F.when(s == "src0", 10).when(s == "src1", 6).otherwise(2)).cast("int").alias("priority"),
         F.when(F.col("lang") == "en", 12).otherwise(4).alias("authority"), F.when(F.col("n_chars") > 3000, -18).otherwise(0).alias("off_topic"),
-        F.when(age <= 30, 10).when(age <= 180, 6).when(age <= 365, 2).otherwise(-4).alias("freshness"),
+        F.when(age.isNull(), 0).when(age <= 30, 10).when(age <= 180, 6).when(age <= 365, 2).when(age <= 1095, 0).otherwise(-4).alias("freshness"),
     )
     return t.withColumn("score", sum((F.col(c) for c in ("priority", "authority", "off_topic", "freshness")), F.col("base")))
 
