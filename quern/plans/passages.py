@@ -153,32 +153,42 @@ def chunk_inspection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _COUNT = "len(regexp_extract_all({}, '{}'))"
-_SYMBOLS = r"[◊Ë‡∫≈¡¥_^=<>{}|`\[\]]"
+# Signs of a broken text layer, and words of which a Thai document holds some. Counted patterns, in order.
+GLYPHS = r"[\x{FFFD}\x{F70B}\x{F70A}\x{F70E}\x{F712}\x{F701}-\x{F709}\x{F710}]"
+GARBLED = r"[็์ิีุู่้๊๋]{3,}|~็|็~|◊|Ë|‡|∫|≈|¡|¥|å|ì|î|ï|ñ|ó|ô|ö|ù|û|ü"
+SYMBOLS = r"[\x{FFFD}\x{F700}-\x{F8FF}◊Ë‡∫≈¡¥åìîïñóôöùûü_^=<>\[\]{}|\\`]"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+THAI_TERMS = "มาตรา สหกรณ์ สมาชิก คณะกรรมการ ประชุม นายทะเบียน พระราชบัญญัติ ข้อบังคับ กิจการ อำนาจ หน้าที่ ตาม และ หรือ ให้ ของ".split()
+# What each finding costs.
+PENALTIES = {
+    "too_short": 35, "glyphs": 25, "glyph_share": 15, "thai_share": 20, "spaced_letters": 25, "garbled": "least(garbled, 20) * 2", "symbols": "least(35, symbols * 4)", "controls": "least(controls, 20)",
+    "few_letters": 30, "no_thai_terms": 30, "few_thai_terms": 30,
+}
+_FINDS = {
+    "too_short": "n < 80", "glyphs": "glyphs >= 4", "glyph_share": "n > 0 and glyphs > 0.01 * n", "thai_share": "latin + thai >= 120 and thai > 0 and thai < 0.35 * (latin + thai)", "spaced_letters": "spaced >= 20",
+    "garbled": "garbled > 0", "symbols": "symbols >= 3", "controls": "controls > 5", "few_letters": "n >= 40 and latin + thai < 0.2 * n and digits >= 10", "no_thai_terms": "n >= 40 and thai >= 20 and terms = 0",
+    "few_thai_terms": "n >= 80 and thai >= 40 and terms <= 1",
+}
+#: Findings after which another way of extraction is worth trying (garbled signs from two on).
+_FALLBACK = "n < 80 or glyphs >= 4 or (n > 0 and glyphs > 0.01 * n) or (latin + thai >= 120 and thai > 0 and thai < 0.35 * (latin + thai)) or spaced >= 20 or garbled >= 2"
+_COUNTED = {"latin": "[A-Za-z]", "thai": "[ก-๙]", "glyphs": GLYPHS, "spaced": "[ก-๙][ \n](?:[ก-๙])", "garbled": GARBLED, "symbols": SYMBOLS, "controls": CONTROLS, "digits": "[0-9๐-๙]"}
 _SIGNS = r"[^\p{L}\p{M}\p{N}\s]"
 
 
 @query(
-    rf"""with m as (select doc_id, text, length(text) as n, {_COUNT.format('text', '[A-Za-z]')} as latin, {_COUNT.format('text', '[ก-๙]')} as thai, {_COUNT.format('text', '�')} as glyphs, {_COUNT.format('text', '[ก-๙] [ก-๙]')} as spaced,
-  {_COUNT.format('text', _SYMBOLS)} as symbols, {_COUNT.format('text', '[0-9๐-๙]')} as digits from documents),
-p as (select doc_id, case when n < 80 then 35 else 0 end + case when glyphs >= 4 then 25 else 0 end + case when n > 0 and glyphs / n::double > 0.01::double then 15 else 0 end
-  + case when latin + thai >= 120 and thai > 0 and thai / (latin + thai)::double < 0.35::double then 20 else 0 end + case when spaced >= 20 then 25 else 0 end
-  + case when symbols >= 3 then least(35, symbols * 4) else 0 end + case when n >= 40 and (latin + thai) / n::double < 0.2::double and digits >= 10 then 30 else 0 end as cost from m)
-select doc_id, greatest(0, 100 - cost)::bigint as score, cost >= 40 as fallback from p"""
+    f"""with m as (select doc_id, length(text) as n, {', '.join(f"{_COUNT.format('text', p)} as {c}" for c, p in _COUNTED.items())}, {' + '.join(f"contains(text, '{t}')::int" for t in THAI_TERMS)} as terms from documents),
+p as (select *, list_filter([{', '.join(f"case when {c} then '{n}' end" for n, c in _FINDS.items())}], lambda x: x is not null) as notes, {' + '.join(f"case when {c} then {PENALTIES[n]} else 0 end" for n, c in _FINDS.items())} as cost, ({_FALLBACK}) as fallback from m)
+select doc_id, greatest(0, 100 - cost)::bigint as score, notes, fallback from p"""
 )
 def extraction_penalties(spark: SparkSession, sf: str) -> DataFrame:
-    """Graded penalties of an extracted text, and whether another way of extraction is worth trying. The counts are taken once, in a
-    projection below the score."""
-    count = lambda p: F.regexp_count("text", F.lit(p))
-    m = table(spark, sf, "documents").select(
-        "doc_id", F.length("text").alias("n"), count("[A-Za-z]").alias("latin"), count("[ก-๙]").alias("thai"), count("�").alias("glyphs"), count("[ก-๙] [ก-๙]").alias("spaced"),
-        count(r"[◊Ë‡∫≈¡¥_^=<>{}|`\[\]]").alias("symbols"), count("[0-9๐-๙]").alias("digits"),
-    )
-    n, letters = F.col("n"), F.col("latin") + F.col("thai")
-    cost = W.points(
-        (n < 80, 35), (F.col("glyphs") >= 4, 25), ((n > 0) & (F.col("glyphs") / n > 0.01), 15), ((letters >= 120) & (F.col("thai") > 0) & (F.col("thai") / letters < 0.35), 20), (F.col("spaced") >= 20, 25),
-        ((n >= 40) & (letters / n < 0.2) & (F.col("digits") >= 10), 30),
-    ) + F.when(F.col("symbols") >= 3, F.least(F.lit(35), F.col("symbols") * 4)).otherwise(0)
-    return m.withColumn("cost", cost).select("doc_id", F.greatest(F.lit(0), 100 - F.col("cost")).cast("long").alias("score"), (F.col("cost") >= 40).alias("fallback"))
+    """Eleven graded penalties of an extracted text with their notes, and whether another way of extraction is worth trying. Counts are taken once, in a projection
+    below the score."""
+    counts = [F.regexp_count("text", F.lit(p)).alias(c) for c, p in _COUNTED.items()]
+    terms = sum((F.contains("text", F.lit(t)).cast("int") for t in THAI_TERMS), F.lit(0))
+    m = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), *counts, terms.alias("terms"))
+    cost = sum((F.when(F.expr(c), F.expr(str(PENALTIES[n]))).otherwise(0) for n, c in _FINDS.items()), F.lit(0))
+    notes = X.flags(*[(n, F.expr(c)) for n, c in _FINDS.items()])
+    return m.select("doc_id", F.greatest(F.lit(0), 100 - cost).cast("long").alias("score"), notes.alias("notes"), F.expr(_FALLBACK).alias("fallback"))
 
 
 @query(

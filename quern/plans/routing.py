@@ -16,15 +16,20 @@ from .base import query
 from .search import _HITS, token_hits
 from .selection import _METRICS, _metrics
 
-# What tells the kinds of questions, with English words for the same.
-SECTION = r"มาตรา|วรรค|อนุมาตรา|ข้อ\s*\d+|section\s*\d+|article\s*\d+"
-LEGAL = r"นายทะเบียน|อำนาจหน้าที่|บทลงโทษ|โทษ|เพิกถอน|อุทธรณ์|ร้องทุกข์|คำสั่ง|ระเบียบ|ข้อบังคับ|กฎกระทรวง|ประกาศ|พระราชบัญญัติ|registrar|penalty"
-OVERVIEW = r"ความรู้ทั่วไป|ความรู้เกี่ยวกับ|ทั่วไปเกี่ยวกับ|เกี่ยวกับสหกรณ์|เบื้องต้น|ภาพรวม|สรุป|นิยาม|ความหมาย|หมายถึง|คืออะไร|ประโยชน์|ข้อดี|overview"
+# Thai words and patterns that tell the kinds of questions, whole and in order.
+THAI_SECTION = r"มาตรา\s*\d+|มาตรา|วรรค|อนุมาตรา|ข้อ\s*\d+"
+THAI_LEGAL = r"นายทะเบียน|อำนาจหน้าที่|บทลงโทษ|โทษ|เพิกถอน|ถอนชื่อออกจากทะเบียน|อุทธรณ์|ร้องทุกข์|คำสั่ง|ระเบียบ|ข้อบังคับ|กฎกระทรวง|ประกาศ|พระราชบัญญัติ|พ\.ศ\."
+THAI_OVERVIEW = r"ความรู้ทั่วไป|ความรู้เกี่ยวกับ|ทั่วไปเกี่ยวกับ|เกี่ยวกับสหกรณ์|เบื้องต้น|ภาพรวม|สรุป|นิยาม|ความหมาย|หมายถึง|คืออะไร|สหกรณ์คืออะไร|ประโยชน์|ข้อดี|ดีอย่างไร|ช่วยอะไร"
+THAI_DOCUMENT = r"กฎกระทรวง|ประกาศ|หนังสือเวียน|ข้อหารือ|หนังสือสั่งการ|หนังสือกรม|เอกสาร|ฉบับ"
+THAI_AMOUNT = r"ค่าบำรุง|สันนิบาต|อัตรา|ร้อยละ|เปอร์เซ็นต์|%|จำนวนเงิน|ต้องจ่าย|ชำระ|จ่าย"
+THAI_RULING = r"แนววินิจฉัย|วินิจฉัย|ตีความ|ข้อหารือ|ถามตอบ|คำถามคำตอบ"
+THAI_SHORT = r"คืออะไร|หมายถึง|เท่าไร|เท่าไหร่|กี่บาท|กี่เปอร์เซ็นต์|กี่ร้อยละ|เมื่อไร|เมื่อไหร่|ต้อง|ควร|ได้ไหม|ได้หรือไม่"
+THAI_CURRENT = r"วันนี้|ตอนนี้|ล่าสุด|ปัจจุบัน|ข่าว|new|update|ประกาศใหม่|เว็บไซต์|ลิงก์|link|ออนไลน์|internet|web|google|facebook|line|โทร|เบอร์|ที่อยู่|map|แผนที่|ภายนอก|external"
+#: The same with English words (own lists), and further own patterns.
+SECTION, LEGAL, OVERVIEW = THAI_SECTION + r"|section\s*\d+|article\s*\d+", THAI_LEGAL + "|registrar|penalty", THAI_OVERVIEW + "|overview"
+RULING, PAPER, SHORT = THAI_RULING + "|ruling", THAI_DOCUMENT + "|" + THAI_AMOUNT + r"|\brate\b|\bamount\b", THAI_SHORT + "|what is|how many|when"
+CURRENT = THAI_CURRENT + "|today"
 EXPLAIN = r"อธิบาย|ขยายความ|explain|\bwhy\b"
-RULING = r"แนววินิจฉัย|วินิจฉัย|ตีความ|ข้อหารือ|ถามตอบ|คำถามคำตอบ|ruling"
-PAPER = r"หนังสือเวียน|หนังสือสั่งการ|เอกสาร|ฉบับ|ค่าบำรุง|สันนิบาต|อัตรา|ร้อยละ|เปอร์เซ็นต์|จำนวนเงิน|ต้องจ่าย|ชำระ|จ่าย|\brate\b|\bamount\b|%"
-SHORT = r"คืออะไร|หมายถึง|เท่าไร|เท่าไหร่|กี่บาท|กี่เปอร์เซ็นต์|กี่ร้อยละ|เมื่อไร|เมื่อไหร่|ต้อง|ควร|ได้ไหม|ได้หรือไม่|what is|how many|when"
-CURRENT = r"วันนี้|ตอนนี้|ล่าสุด|ปัจจุบัน|ข่าว|เว็บไซต์|ลิงก์|ออนไลน์|\bnew\b|update|today|internet|google|facebook"
 CLARIFY = r"^(?:แล้ว|แล้วล่ะ|กรณีนี้|เรื่องนี้|อันนี้|มาตราไหน|ข้อไหน|วรรคไหน|ยังไง|อย่างไร|and|so|this)(?: |$)"
 GROUP, COOP = r"กลุ่มเกษตรกร|farmer group", r"สหกรณ์|cooperative"
 SHORT_SIGNS, PROFILE_SHORT, PROFILE_LOW = 60, 28, 48

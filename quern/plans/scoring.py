@@ -78,7 +78,9 @@ def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
     return R.top(near(spark, sf).withColumn("score", score), ["item_id"], [F.desc("score"), F.asc("doc_id")], 1).select("item_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-_COUNTS = "กี่|จำนวน|ประเภท|ชนิด|แบบ|ลักษณะ|เท่าไร|เท่าไหร่|how many|how much"
+# Thai words that ask for a count or kind. English ones are own.
+THAI_COUNTS = "กี่|จำนวน|ประเภท|ชนิด|แบบ|ลักษณะ|เท่าไร|เท่าไหร่"
+_COUNTS = THAI_COUNTS + "|how many|how much"
 
 
 @query(
