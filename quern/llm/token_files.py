@@ -16,7 +16,6 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from .tokenizing import encoder
 
 MARK = b"QTOKENS2"
 END = 1
-#: Bytes of text in a shard, about.
-SHARD = 16 << 20
+#: Bytes of text in a shard, about, and shards that a task writes or reads one after the other: 100 TB of text take 200,000 tasks and a manifest of 800,000 rows.
+SHARD, EACH = 128 << 20, 4
 _NULL = -(1 << 63)
 
 
@@ -135,35 +134,40 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
 
 
-def _write(folder: str, path: str, end: int):
+def _write(folder: str, path: str, end: int, most: int):
+    """Rows of a range -> shard files of about `most` bytes of text, one after the other."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        uri = f"{folder}/shard-{number:06d}.tok"
-        todo = steps(batches, "text", 4 << 20)
-        some = next(todo, None)
-        if some is None:
-            return
-        ids, sizes = [], []
+        part = TaskContext.get().partitionId()
+        todo = steps(batches, "text", min(most, 4 << 20))
+        some, k = next(todo, None), 0
         width = 2 if max(encoder(path).largest, end) < 1 << 16 else 4
-        with writing(uri) as out:
-            out.write(MARK)
-            for batch, data, bounds in chain([some], todo):
-                flat, at = encoder(path).encode(data, bounds)
-                n = np.diff(at)
-                with_end = np.full(len(flat) + len(n), end, f"<u{width}")
-                with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
-                out.write(with_end.tobytes())
-                sizes.append(n + 1)
-                ids += [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
-            keys, count = np.array(ids, "<i8"), np.concatenate(sizes)
-            table = np.stack([keys, np.cumsum(count) - count, count]).astype("<i8").tobytes()
-            distinct, rows = np.unique(keys, return_index=True)
-            known = distinct != _NULL
-            index = index_bytes(distinct[known], rows[known])
-            out.write(table + index + np.array([width * count.sum(), len(table), len(index), width], "<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([uri]), pa.array([len(ids)]), pa.array([int(count.sum())]), pa.array([int(keys[0])]), pa.array([int(keys[-1])])], ["shard", "uri", "n_docs", "n_tokens", "first_id", "last_id"])
+        while some is not None:
+            uri = f"{folder}/shard-{part:06d}-{k:04d}.tok"
+            ids, sizes, size = [], [], 0
+            with writing(uri) as out:
+                out.write(MARK)
+                while some is not None and size < most:
+                    batch, data, bounds = some
+                    flat, at = encoder(path).encode(data, bounds)
+                    n = np.diff(at)
+                    with_end = np.full(len(flat) + len(n), end, f"<u{width}")
+                    with_end[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = flat
+                    out.write(with_end.tobytes())
+                    sizes.append(n + 1)
+                    ids += [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
+                    size += len(data)
+                    some = next(todo, None)
+                keys, count = np.array(ids, "<i8"), np.concatenate(sizes)
+                table = np.stack([keys, np.cumsum(count) - count, count]).astype("<i8").tobytes()
+                distinct, rows = np.unique(keys, return_index=True)
+                known = distinct != _NULL
+                index = index_bytes(distinct[known], rows[known])
+                out.write(table + index + np.array([width * count.sum(), len(table), len(index), width], "<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 20) + k]), pa.array([uri]), pa.array([len(ids)]), pa.array([int(count.sum())]), pa.array([int(keys[0])]), pa.array([int(keys[-1])])], ["shard", "uri", "n_docs", "n_tokens", "first_id", "last_id"])
+            k += 1
 
     return run
 
@@ -173,10 +177,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     ship(spark)
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     folder = folder or scratch_path(spark, "tokens")
-    n = parts(spark, text_bytes(docs, "text"), SHARD)
+    n = parts(spark, text_bytes(docs, "text"), SHARD * EACH)
     # ranges of id and place, so that an id that many rows repeat is spread over shards
     dealt = docs.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "place")
-    rows = dealt.sortWithinPartitions("doc_id", "place").mapInArrow(_write(folder, tokenizer, end), "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long")
+    rows = dealt.sortWithinPartitions("doc_id", "place").mapInArrow(_write(folder, tokenizer, end, SHARD), "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long")
     return sorted(rows.collect())
 
 
@@ -202,5 +206,5 @@ def read_tokens(spark: SparkSession, manifest: list) -> DataFrame:
     for m in manifest:
         rows.append((m["uri"], base))
         base += m["n_tokens"]
-    shards = spark.createDataFrame(rows, "uri string, base long").repartition(max(1, len(rows)))
+    shards = spark.createDataFrame(rows, "uri string, base long").repartition(max(1, min(len(rows), parts(spark, len(rows), EACH))))
     return shards.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
