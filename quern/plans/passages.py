@@ -9,6 +9,7 @@ from ..functions import rules as W
 from ..functions import text as X
 from ..operators import relational as R
 from ..operators import splitting as P
+from ..sources import office as O
 from ..sources import readers as S
 from ..sources.readers import table
 from ..sources.scratch import scratch_path
@@ -379,3 +380,28 @@ def checked_json(spark: SparkSession, sf: str) -> DataFrame:
     log.repartition("day").sortWithinPartitions("day", "event_id").select("value", "day").write.partitionBy("day").text(path)
     rows = S.json_lines_checked(S.numbered_lines(spark, path), "k bigint", keep=["day", "line"])
     return rows.select("day", "line", F.when(F.col("valid"), F.col("record.k")).alias("k"), "valid")
+
+
+#: What a paragraph is, by the first pattern that it matches: an entry of questions, a step, a note, a heading of a summary.
+PARAGRAPHS = [("faq", r"\?"), ("process", r"^[0-9]+[.)]|^\| "), ("note", r"!|%|&"), ("summary", ":")]
+_BARE = r"trim(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), ' ' || chr(9) || chr(13))"
+
+
+@query(
+    rf"""with l as (select doc_id, source, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: {_BARE}), lambda x: x <> '')) as p from documents)
+select doc_id, case {' '.join(f"when regexp_matches(p, '{p}') then '{t}'" for t, p in PARAGRAPHS)} else 'text' end as type, count(*) as n, null::varchar as error from l where source <> 'src13' group by all
+union all select doc_id, 'damaged', 1, 'BadZipFile' from documents where source = 'src13'"""
+)
+def office_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as Word documents and read back: paragraphs by type, counted for each document. Those of one source are cut off in the middle and come back
+    with their error."""
+    bare = lambda x: F.trim(F.regexp_replace(x, O.CONTROLS, ""), F.lit(" \t\r"))
+    lines = F.filter(F.transform(F.split("text", "\n"), bare), lambda x: x != "")
+    folder = scratch_path(spark, "office")
+    written = O.write_documents(table(spark, sf, "documents").select(F.format_string("%d.docx", "doc_id").alias("name"), lines.alias("paragraphs"), "source"), folder, "source = 'src13'")
+    written.agg(F.sum("size")).collect()
+    kind = F.when(F.rlike("text", F.lit(PARAGRAPHS[0][1])), PARAGRAPHS[0][0])
+    for name, pattern in PARAGRAPHS[1:]:
+        kind = kind.when(F.rlike("text", F.lit(pattern)), name)
+    rows = O.read_documents(spark, folder).withColumn("type", F.when(F.col("error").isNotNull(), "damaged").otherwise(kind.otherwise("text")))
+    return rows.groupBy(F.regexp_extract("name", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "type").agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("error"))
