@@ -108,3 +108,23 @@ def verify(token: Column, secret: bytes, schema: str, target: Column, now_ms: Co
     state = F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), schema)
     good = (mac == hmac_sha256(body, secret)) & (state["v"] == version) & (state["target"] == target) & (state["expires_ms"] > now_ms)
     return F.when(good, state)
+
+
+def _ends(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings of each list end when they are joined, one list after the other, and the lists' bounds."""
+    at = lists.offsets.to_numpy()
+    sizes = pc.fill_null(pc.utf8_length(lists.values.slice(at[0], at[-1] - at[0])), 0).to_numpy(zero_copy_only=False)
+    return np.cumsum(sizes), at - at[0]
+
+
+@F.arrow_udf(T.IntegerType())
+def shared_ends(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many strings of two lists end at the same place when each list is joined. Null lists are empty."""
+    if not len(a):
+        return pa.array([], pa.int32())
+    (x, at), (y, bt) = _ends(a), _ends(b)
+    out = []
+    for k in range(len(a)):
+        i, j = x[at[k] : at[k + 1]] - (x[at[k] - 1] if at[k] else 0), y[bt[k] : bt[k + 1]] - (y[bt[k] - 1] if bt[k] else 0)
+        out.append(len(np.intersect1d(i, j)))
+    return pa.array(out, pa.int32())

@@ -40,27 +40,31 @@ def sentences(c: Column) -> Column:
 
 
 def _fold(items: Column, joins) -> Column:
-    """Items joined to the one before them where joins(last, item) holds. The last one is carried apart, so that a finished one is
-    appended once and only the last one is rewritten."""
+    """Items joined to the one before them where joins(length of the last one, the item's length) holds. The fold sees lengths alone and keeps where each
+    joined item begins; texts are cut and joined once, at the end."""
 
     def step(acc: Column, x: Column) -> Column:
-        last = acc["last"]
-        own = last.isNotNull() & joins(last, x)
-        done = F.when(own | last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
-        return F.struct(done.alias("done"), F.when(own, F.concat(last, F.lit(" "), x)).otherwise(x).alias("last"))
+        own = acc["last"].isNotNull() & joins(acc["last"], x["n"])
+        starts = F.when(own, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(x["i"])))
+        return F.struct(starts.alias("starts"), F.when(own, acc["last"] + 1 + x["n"]).otherwise(x["n"]).alias("last"))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
-    return F.aggregate(items, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(None).cast("int").alias("last"))
+    # both arrays stand in one struct, so that the fold is done once and its result used for each item
+    both = F.transform(F.array(F.struct(items.alias("items"))), lambda b: F.struct(
+        b["items"].alias("items"), F.aggregate(F.transform(b["items"], lambda x, i: F.struct(F.length(x).alias("n"), i.cast("int").alias("i"))), start, step, lambda acc: acc["starts"]).alias("starts")
+    ))
+    joined = F.transform(both, lambda b: F.transform(b["starts"], lambda s, k: F.array_join(F.slice(b["items"], s + 1, F.coalesce(F.get(b["starts"], k + 1), F.size(b["items"])) - s), " ")))
+    return F.get(joined, F.lit(0))
 
 
 def pack(items: Column, most: int) -> Column:
     """Greedy: an item joins the last pack if that stays within `most` signs, else begins one."""
-    return _fold(items, lambda last, x: F.length(last) + F.length(x) + 1 <= most)
+    return _fold(items, lambda last, n: last + n + 1 <= most)
 
 
 def merge_small(items: Column, least: int, most: int) -> Column:
     """An item joins the one before it if one of both is shorter than `least` and both stay within `most`."""
-    return _fold(items, lambda last, x: ((F.length(x) < least) | (F.length(last) < least)) & (F.length(last) + F.length(x) < most))
+    return _fold(items, lambda last, n: ((n < least) | (last < least)) & (last + n < most))
 
 
 def distinct_lines(items: Column, least: int = 14, share: float = 0.8) -> Column:

@@ -45,7 +45,8 @@ class Segmenter:
         n = len(text)
         best, back, known = [0.0] + [math.inf] * n, [0] * (n + 1), [True] * (n + 1)
         done = 0
-        for s, e, cost in matches(self.words, text) if n else []:
+        for end, (size, cost) in self.words.iter(text) if n and len(self.words) else ():
+            s, e = end + 1 - size, end + 1
             for k in range(done + 1, e + 1):  # places up to here can still be reached by one sign
                 if best[k - 1] + self.outside < best[k]:
                     best[k], back[k], known[k] = best[k - 1] + self.outside, k - 1, False

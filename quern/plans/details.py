@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrow as A
 from ..functions import rules as W
 from ..functions import text as X
 from ..operators import relational as R
@@ -185,16 +186,9 @@ def segmented_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", X.normalise(F.col("text")).alias("plain"))
     words = D.dictionary(d.select(F.explode(F.split("plain", " ")).alias("word")).where("word <> ''"), least=1)
     joined = d.select("doc_id", F.replace("plain", F.lit(" "), F.lit("")).alias("text"))
-
-    def places(df: DataFrame, name: str) -> DataFrame:
-        """Where words end, as running sums of their lengths."""
-        run = F.aggregate(name, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda a, w: F.struct((a["n"] + F.length(w)).alias("n"), F.concat(a["at"], F.array(a["n"] + F.length(w))).alias("at")))
-        return df.withColumn(name, run["at"])
-
     true = d.select("doc_id", F.filter(F.split("plain", " "), lambda w: w != "").alias("true"))
     both = true.join(D.segmented(joined, words).withColumnRenamed("id", "doc_id"), "doc_id")
-    both = places(places(both, "true"), "words")
-    return both.select("doc_id", F.size("true").alias("boundaries"), F.size("words").alias("cuts"), F.size(F.array_intersect("true", "words")).alias("found"))
+    return both.select("doc_id", F.size("true").alias("boundaries"), F.size("words").alias("cuts"), A.shared_ends("true", "words").alias("found"))
 
 
 @query(r"select item_id, regexp_extract_all(text, '([\p{L}\p{M}\p{N}]+)', 1) as words from benchmark")

@@ -60,3 +60,11 @@ def test_boundaries_of_the_tables(spark):
 
     r = QUERIES["segmented_texts"](spark, "/root/testdata/sf0.001").agg(F.sum("found").alias("found"), F.sum("boundaries").alias("all"), F.sum("cuts").alias("cuts")).first()
     assert r.found > 0.88 * r["all"] and r.found > 0.9 * r.cuts  # 0.90 and 0.93 as measured
+
+
+def test_shared_ends(spark):
+    from quern.functions.arrow import shared_ends
+
+    rows = [(["ab", "c", "def"], ["a", "bc", "def"]), ([], ["x"]), (None, None), (["é", "日本"], ["é日", "本"]), (["q"], ["q"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").coalesce(1)
+    assert [r[0] for r in df.select(shared_ends("a", "b")).collect()] == [2, 0, 0, 1, 1]
