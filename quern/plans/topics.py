@@ -84,7 +84,7 @@ pf as (select n.item_id, n.doc_id, af.family, r.cap_up, r.cap_down, coalesce(ai.
     sum(r.points) filter (where r.kind = 'context') as context, sum(r.points) filter (where r.kind = 'conflict' and not contains(b.plain, r.phrase)) as conflict
   from near n join af using (item_id) join sd using (doc_id) join rules r on r.rule_id = sd.rule_id and r.family = af.family join b using (item_id) left join ai on ai.item_id = n.item_id and ai.family = af.family group by all),
 ff as (select item_id, doc_id, family, least(cap_up, coalesce(context + intent, 0))::bigint as up, least(cap_down, coalesce(conflict, 0))::bigint as down from pf),
-c as (select n.item_id, n.doc_id, n.hits, coalesce(sum(up - down), 0)::bigint as focus, coalesce(list({{'family': family, 'up': up, 'down': down}} order by family) filter (where family is not null and (up > 0 or down > 0)), []) as families
+c as (select n.item_id, n.doc_id, n.hits, coalesce(sum(up - down), 0)::bigint as focus, coalesce(list(family || ' +' || up || ' -' || down order by family) filter (where family is not null and (up > 0 or down > 0)), []) as families
   from near n left join ff using (item_id, doc_id) group by all)"""
 
 
@@ -104,9 +104,9 @@ def boosted(spark: SparkSession, sf: str) -> DataFrame:
     )
     up = F.least("cap_up", F.coalesce(F.col("context") + F.coalesce("intent", F.lit(0)), F.lit(0)))
     f = f.select("item_id", "doc_id", "family", up.cast("long").alias("up"), F.least("cap_down", F.coalesce("conflict", F.lit(0))).cast("long").alias("down"))
-    shown = F.array_sort(F.collect_list(F.when((F.col("up") > 0) | (F.col("down") > 0), F.struct("family", "up", "down"))))
+    shown = F.array_sort(F.collect_list(F.when((F.col("up") > 0) | (F.col("down") > 0), F.concat("family", F.lit(" +"), "up", F.lit(" -"), "down"))))
     f = f.groupBy("item_id", "doc_id").agg(F.sum(F.col("up") - F.col("down")).alias("focus"), shown.alias("families"))
-    none = F.array().cast("array<struct<family:string,up:bigint,down:bigint>>")
+    none = F.array().cast("array<string>")
     return near.join(f, ["item_id", "doc_id"], "left").select("item_id", "doc_id", "hits", F.coalesce("focus", F.lit(0)).cast("long").alias("focus"), F.coalesce("families", none).alias("families"))
 
 
