@@ -81,3 +81,10 @@ def test_passages_of_odd_rows(spark):
     anchors = spark.createDataFrame([("plain line",), (None,)], "phrase string")
     got = S.passages(spark.createDataFrame(rows, "id long, text string"), RULES, anchors).collect()
     assert {(r.id, r.ordinal) for r in got} == {(4, 0), (None, 0)} and got[0].keyword == "plain line" or got[1].keyword == "plain line"
+
+
+def test_no_phrase_of_the_rule_table_overlaps_itself():
+    from quern.functions import topic_rules
+
+    for _, _, p, _ in topic_rules.ROWS:
+        assert not any(p[:k] == p[-k:] for k in range(1, len(p))), p
