@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release, ship
+from .common import lean, materialise, release, ship
 
 #: So many contracted links at most are finished by one task (about 16 MB); more go through the rounds.
 ONE_TASK = 1_000_000
@@ -67,9 +67,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     ship(spark)
     a, b = links.columns
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = materialise(spark, e.mapInArrow(_contract, "u long, v long"), "links")
+    e = materialise(spark, e.mapInArrow(lean(_contract), "u long, v long"), "links")
     if e.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        one = materialise(spark, e.coalesce(1).mapInArrow(_contract, "u long, v long"), "links")
+        one = materialise(spark, e.coalesce(1).mapInArrow(lean(_contract), "u long, v long"), "links")
         release(spark, e)
         return _all(one)
     state = None

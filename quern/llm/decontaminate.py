@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, named, numbers, run_hash, ship
+from .common import lean, mix, named, numbers, run_hash, ship
 
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 BLOOM = 1 << 23
@@ -304,14 +304,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     (template token where the item begins): a row for each document and item that it contains."""
     ship(spark)
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows, _ITEM).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(lean(_item_windows), _ITEM).distinct()
     # the filter: at most BLOOM distinct bits, 1 MiB when packed, whatever the benchmark's size
-    on = items.select("window").mapInArrow(_bloom, "bit int").distinct().toArrow()["bit"].to_numpy()
+    on = items.select("window").mapInArrow(lean(_bloom), "bit int").distinct().toArrow()["bit"].to_numpy()
     flags = np.zeros(BLOOM, bool)
     flags[on] = True
     bits = np.packbits(flags, bitorder="little")
     widths = sorted(tuple(r) for r in items.select("plain", "width").distinct().collect())
-    windows = docs.mapInArrow(_doc_windows(bits, widths), _DOC)
+    windows = docs.mapInArrow(lean(_doc_windows(bits, widths)), _DOC)
     hits = windows.join(items, (windows.window == items.window) & (windows.doc_width == items.width) & (windows.doc_plain == items.plain))
     by = hits.groupBy("doc_id", "item_id", "item_tokens", "item_words").agg(F.collect_set(F.struct("plain", "doc_at", "item_at", "doc_word", "item_word", "item_span", "width", "doc_slots", "item_slots")).alias("hits"))
-    return by.select("doc_id", "item_id", "item_tokens", "item_words", "hits").mapInArrow(_judge(share), "doc_id long, item_id long, coverage double, n_changed int, doc_at long")
+    return by.select("doc_id", "item_id", "item_tokens", "item_words", "hits").mapInArrow(lean(_judge(share)), "doc_id long, item_id long, coverage double, n_changed int, doc_at long")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, STEP_BYTES, Texts, mix, run_hash, span_hashes, steps
+from .common import LOWER, STEP_BYTES, Texts, lean, mix, run_hash, span_hashes, steps
 
 #: log2 of the number of hashed features.
 BITS = 18
@@ -99,7 +99,7 @@ def gather(spark: SparkSession, docs: DataFrame, chosen: DataFrame, kinds: str)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(x))], ["doc_id", "y", "x"])
 
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<int>")
+    rows = rows.select("doc_id", "text", "y").mapInArrow(lean(run), "doc_id long, y int, x array<int>")
     table = rows.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     x = table["x"].combine_chunks()
     if isinstance(x, pa.ChunkedArray):
@@ -142,4 +142,4 @@ def scored(docs: DataFrame, score, extra: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest, pa.array(score(data, bounds))], ["doc_id", *extra, "score"])
 
     schema = StructType([docs.schema[c] for c in ["doc_id", *extra]]).add("score", "double")
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *extra).mapInArrow(lean(run), schema)

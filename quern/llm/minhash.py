@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Texts, byte_column, materialise, mix, named, numbers, run_hash, ship, steps
+from .common import Texts, byte_column, lean, lean_group, materialise, mix, named, numbers, run_hash, ship, steps
 from .components import components, hook
 
 BINS, ROWS = 128, 4
@@ -233,7 +233,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         scratch.append(materialise(spark, df, name))
         return scratch[-1]
 
-    sketched = keep(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, words binary, bands array<long>"), "sketches")
+    sketched = keep(docs.mapInArrow(lean(_sketch), "doc_id long, n_shingles long, words binary, bands array<long>"), "sketches")
     sets = sketched.where("doc_id is not null and n_shingles > 0")
     classes = sets.groupBy("words").agg(F.min("doc_id").alias("rep"))
     member = keep(sets.select("doc_id", "words").distinct().join(classes, "words").select("doc_id", "rep"), "members")
@@ -252,7 +252,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     def confirm(pairs: DataFrame) -> DataFrame:
         b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+        return both.select("a", "b", "ta", "tb").mapInArrow(lean(_verify), "a long, b long")
 
     low_n = buckets.select(F.col("doc_id").alias("low"), F.col("n_shingles").alias("low_n")).distinct()
     # sets whose sizes differ too much can't be similar
@@ -300,4 +300,4 @@ def _tiles(spark: SparkSession, hot: DataFrame, texts: DataFrame) -> DataFrame:
     own = own.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = own.join(texts, "doc_id").select("cluster", "block", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
     rows = rows.select("cluster", F.least("block", "met").alias("b1"), F.greatest("block", "met").alias("b2"), "block", "doc_id", "text")
-    return rows.groupBy("cluster", "b1", "b2").applyInArrow(_tile, "a long, b long")
+    return rows.groupBy("cluster", "b1", "b2").applyInArrow(lean_group(lambda _, table: _tile(table)), "a long, b long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, named, ship, steps
+from .common import lean, materialise, named, ship, steps
 from .tokenizing import encoder
 
 CAPACITY, END = 1024, 2
@@ -72,7 +72,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
 
         chunk = TaskContext.get().partitionId()
         tail, seen = int(end).to_bytes(4, "little"), np.zeros(capacity + 1, np.int64)
-        for batch, data, bounds in steps(batches, "text", 4 << 20):
+        for batch, data, bounds in steps(batches, "text"):
             ids, out = batch.column("doc_id").to_pylist(), []
             flat, places = encoder(path).encode(data, bounds)
             whole = flat.astype("<u4").tobytes()
@@ -98,7 +98,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     unsigned 32-bit, if with_ids): one row for each piece."""
     ship(spark)
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    pieces = docs.mapInArrow(_pieces(tokenizer, capacity, end, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, chunk int, ids binary")
+    pieces = docs.mapInArrow(lean(_pieces(tokenizer, capacity, end, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, chunk int, ids binary")
     pieces = materialise(spark, pieces, "pieces")
     counts = pieces.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).select("chunk", "length", "base")

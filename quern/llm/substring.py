@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Texts, mix, named, numbers, parts, row_of, run_hash, ship, sliding_min, steps, text_bytes
+from .common import Texts, lean, lean_group, mix, named, numbers, parts, row_of, run_hash, ship, sliding_min, steps, text_bytes
 
 WINDOW, MER = 20, 3
 #: Bytes of text in one step of a map task, and of packed stretches aimed at in one bucket.
@@ -241,7 +241,7 @@ def _cut(rest: list[str]):
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, kept_text, n_words, n_removed; one row for each input row."""
     return _joined(spark, docs, id_col, text_col, []).select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n")).mapInArrow(
-        _cut([]), "doc_id long, kept_text string, n_words long, n_removed long"
+        lean(_cut([])), "doc_id long, kept_text string, n_words long, n_removed long"
     )
 
 
@@ -249,7 +249,7 @@ def replace_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """docs with all its columns, the text being the kept one and size_col, if there, its length."""
     rows = _joined(spark, docs, id_col, text_col, [row_of(docs).alias("row")]).select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"), "row")
     schema = StructType.fromDDL("doc_id long, kept_text string, n_words long, n_removed long").add("row", rows.schema["row"].dataType)
-    out = rows.mapInArrow(_cut(["row"]), schema)
+    out = rows.mapInArrow(lean(_cut(["row"])), schema)
     kept = {text_col: F.col("kept_text")}
     if size_col in docs.columns:
         kept[size_col] = F.length("kept_text").cast(docs.schema[size_col].dataType)
@@ -262,14 +262,14 @@ def _joined(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, mo
     docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("th"), *more)
     buckets = parts(spark, 3 * total, BUCKET)
     schema = "bucket long, id long, th long, start long, n long, pack binary"
-    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(_pack(buckets), schema)
+    packed = docs.where("doc_id is not null and text is not null").select("doc_id", "th", "text").mapInArrow(lean(_pack(buckets)), schema)
     # runs that are decided ride along, spread over the buckets by their place, as copies share their text's hash
     at = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("id", "start"), F.lit(buckets))).otherwise(F.col("bucket")).alias("at")
     groups = -(-total // ROUND)
     if groups > 1:
         group = F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")
-        packed = packed.groupBy(at, group).applyInArrow(_count(True), schema)
-    runs = packed.groupBy(at).applyInArrow(_count(False), schema)
+        packed = packed.groupBy(at, group).applyInArrow(lean_group(_count(True)), schema)
+    runs = packed.groupBy(at).applyInArrow(lean_group(_count(False)), schema)
     runs = runs.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return docs.join(runs, (docs.doc_id == runs.id) & (docs.th == runs.th), "left")
 

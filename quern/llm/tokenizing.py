@@ -19,7 +19,7 @@ import numpy as np
 
 from .common import LOWER, mix
 
-MEMO = 1_500_000
+MEMO = 800_000
 #: Runs encoded as one string.
 JOINED = 512
 _PIECE = re.compile(r"(?= \S)")
