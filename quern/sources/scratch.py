@@ -30,8 +30,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return system.makeQualified(p).toString()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once to the scratch folder, and a reader of it: what several jobs read, or a lineage that is cut."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

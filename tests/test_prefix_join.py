@@ -52,3 +52,36 @@ def test_a_tenth_of_the_pairs_is_compared(spark):
 def test_occurrences(spark):
     df = spark.createDataFrame([(["a", "b", "a", "a"],)], "x array<string>")
     assert df.select(J.occurrences(F.col("x"))).first()[0] == ["a#1", "b#1", "a#2", "a#3"]
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    own = sc.statusStore().executorList(False)
+    return sum(own.apply(k).totalShuffleWrite() for k in range(own.size()))
+
+
+def test_what_is_shuffled_follows_the_sets_not_the_pairs(spark):
+    """Sets of a few common items meet nearly all others; their pairs don't go to disk."""
+    rng = random.Random(3)
+    rows = [(k, sorted(rng.sample([f"word{i}" for i in range(60)], 12))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, items array<string>").repartition(4).persist()
+    df.count()
+    before = shuffled(spark)
+    J.near_sets(df, "overlap", 0.8).count()
+    took = shuffled(spark) - before
+    assert 0 < took < sum(8 + len(x) for _, r in rows for x in r)  # less than the sets, each item with a long
+
+
+def test_hashes_that_meet_are_replaced(spark, monkeypatch):
+    """Items whose numbers are equal get others, until all differ."""
+    whole, seen = F.xxhash64, []
+
+    def weak(salt, x):
+        seen.append(salt)
+        return whole(salt, x) if len(set(map(str, seen))) > 2 else whole(salt, F.substring(x, 1, 1))
+
+    monkeypatch.setattr(J.F, "xxhash64", weak)
+    rows = [(1, ["aa", "ab", "ac", "ad", "ae"]), (2, ["aa", "ab", "ac", "ad", "zz"]), (3, ["bb", "bc", "bd", "be", "bf"]), (4, ["af", "ag", "ah", "ai", "aj"])]
+    got = J.near_sets(spark.createDataFrame(rows, "id long, items array<string>"), "overlap", 0.8).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 4, 5, 5)] and len(set(map(str, seen))) == 3
