@@ -12,7 +12,7 @@ from ..operators import splitting as P
 from ..sources import office as O
 from ..sources import readers as S
 from ..sources.readers import table
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, written
 from .base import query
 from .search import _HITS, token_hits
 
@@ -384,6 +384,8 @@ def checked_json(spark: SparkSession, sf: str) -> DataFrame:
 
 #: What a paragraph is, by the first pattern that it matches: an entry of questions, a step, a note, a heading of a summary.
 PARAGRAPHS = [("faq", r"\?"), ("process", r"^[0-9]+[.)]|^\| "), ("note", r"!|%|&"), ("summary", ":")]
+#: Files of a folder, about.
+FILES = 1000
 _BARE = r"trim(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), ' ' || chr(9) || chr(13))"
 
 
@@ -398,10 +400,11 @@ def office_documents(spark: SparkSession, sf: str) -> DataFrame:
     bare = lambda x: F.trim(F.regexp_replace(x, O.CONTROLS, ""), F.lit(" \t\r"))
     lines = F.filter(F.transform(F.split("text", "\n"), bare), lambda x: x != "")
     folder = scratch_path(spark, "office")
-    written = O.write_documents(table(spark, sf, "documents").select(F.format_string("%d.docx", "doc_id").alias("name"), lines.alias("paragraphs"), "source"), folder, "source = 'src13'")
-    written.agg(F.sum("size")).collect()
+    docs = table(spark, sf, "documents")
+    folders = -(-docs.count() // FILES)
+    files = written(O.write_documents(docs.select(F.format_string("%d.docx", "doc_id").alias("name"), lines.alias("paragraphs"), "source"), folder, "source = 'src13'", folders), "names")
     kind = F.when(F.rlike("text", F.lit(PARAGRAPHS[0][1])), PARAGRAPHS[0][0])
     for name, pattern in PARAGRAPHS[1:]:
         kind = kind.when(F.rlike("text", F.lit(pattern)), name)
-    rows = O.read_documents(spark, folder).withColumn("type", F.when(F.col("error").isNotNull(), "damaged").otherwise(kind.otherwise("text")))
+    rows = O.read_documents(spark, folder, files).withColumn("type", F.when(F.col("error").isNotNull(), "damaged").otherwise(kind.otherwise("text")))
     return rows.groupBy(F.regexp_extract("name", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "type").agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("error"))

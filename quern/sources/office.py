@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -27,6 +28,8 @@ _RELS = (
 )
 #: Signs that XML can't hold.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+#: Bytes of files, as packed, that one task reads at about.
+READ = 16 << 20
 #: First bytes of each kind of file; text is what begins otherwise.
 KINDS = {b"PK\x03\x04": "docx", b"%PDF": "pdf", b"\xd0\xcf\x11\xe0": "doc"}
 
@@ -61,31 +64,37 @@ def kind_of(data: bytes) -> str:
     return next((k for head, k in KINDS.items() if data.startswith(head)), "text")
 
 
-def write_documents(rows: DataFrame, folder: str, broken: str = "false") -> DataFrame:
+def write_documents(rows: DataFrame, folder: str, broken: str = "false", folders: int = 1) -> DataFrame:
     """rows (name, paragraphs) -> a file each below the folder (a URI that driver and executors share), and their names and sizes. A repeated task replaces a file by the same one.
-    Rows for which `broken` holds are written without their second half."""
+    Rows for which `broken` holds are written without their second half. With more than one folder, files are dealt to as many subfolders by their names, which then begin with the subfolder's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
-        if isinstance(system, fs.LocalFileSystem):
-            system.create_dir(path, recursive=True)
+        local, made = isinstance(system, fs.LocalFileSystem), set()
         for batch in batches:
-            sizes = []
+            names, sizes = [], []
             for name, own, cut in zip(*(c.to_pylist() for c in batch.columns)):
                 data = package(own or [])
                 data = data[: len(data) // 2] if cut else data
+                name = f"{zlib.crc32(name.encode()) % folders:05d}/{name}" if folders > 1 else name
+                top = f"{path}/{name}".rpartition("/")[0]
+                if local and top not in made:
+                    system.create_dir(top, recursive=True)
+                    made.add(top)
                 with system.open_output_stream(f"{path}/{name}") as out:
                     out.write(data)
+                names.append(name)
                 sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["name", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
 
     ship(rows.sparkSession)
     return rows.select("name", "paragraphs", F.expr(broken).alias("cut")).mapInArrow(run, "name string, size long")
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
     """Files below a folder -> name, kind, ordinal, text, error: a row for each paragraph (of Word documents) or line (of texts). A file that can't be
-    read, or is of a kind without a reader here, is one row with its error."""
+    read, or is of a kind without a reader here, is one row with its error. Spark lists the folder in the driver's memory; with files
+    (name, size), as `write_documents` gives them, nothing is listed, and tasks open the files by name, each once."""
 
     def rows(name: str, data: bytes) -> list[tuple]:
         kind = kind_of(data)
@@ -108,6 +117,17 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 cols = list(zip(*own)) if own else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["name", "kind", "ordinal", "text", "error"])
 
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{path}/{name}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
     ship(spark)
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInArrow(run, "name string, kind string, ordinal int, text string, error string")
+    out = "name string, kind string, ordinal int, text string, error string"
+    if files is None:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content").mapInArrow(run, out)
+    total = files.agg(F.sum("size")).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // READ))
+    return files.select("name").repartition(parts, "name").dropDuplicates().mapInArrow(lambda batches: run(opened(batches)), out)

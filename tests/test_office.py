@@ -45,3 +45,20 @@ def test_each_document_comes_back(spark, name):
 
     out = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert out.where("error is not null").agg(F.count_distinct("doc_id")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("source = 'src13'").count()
+
+
+def test_the_driver_lists_no_documents(spark):
+    from quern.plans.registry import QUERIES
+
+    out = QUERIES["office_documents"](spark, "/root/testdata/sf0.001")
+    assert len(out.inputFiles()) < 10 < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_subfolders(spark, tmp_path):
+    rows = [(f"{k}.docx", [f"text {k}", "more"]) for k in range(40)]
+    folder = f"file://{tmp_path}/office"
+    files = O.write_documents(spark.createDataFrame([*rows, rows[0]], "name string, paragraphs array<string>").repartition(3), folder, folders=7).persist()
+    names = {r.name for r in files.collect()}
+    assert len(names) == 40 and len({n.partition("/")[0] for n in names}) == 7 and all((tmp_path / "office" / n).is_file() for n in names)
+    want = sorted((n, "docx", k, t, None) for n, own in rows for k, t in enumerate(own))
+    assert sorted(map(tuple, O.read_documents(spark, folder, files).collect())) == want == sorted(map(tuple, O.read_documents(spark, folder).collect()))
